@@ -91,17 +91,19 @@ def close_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tu
         for b in range(0, len(right), TILE_COLUMNS):
             wide = min(TILE_COLUMNS, len(right) - b)
             d, n = differ[: len(x), :wide], bits[: len(x), :wide]
-            apart = None
-            for lane, column in enumerate(columns):
-                np.bitwise_xor(x[:, lane : lane + 1], column[None, b : b + wide], out=d)
-                np.bitwise_count(d, out=n)
-                if lane == 0:
-                    apart = n if len(columns) == 1 else n.astype(np.uint16 if len(columns) > 3 else np.uint8)
-                else:
-                    apart += n
-            near = apart <= radius
+            np.bitwise_xor(x[:, :1], columns[0][None, b : b + wide], out=d)
+            np.bitwise_count(d, out=n)
+            if len(columns) > 1:  # two lanes for all pairs; the others for those that two lanes leave
+                np.bitwise_xor(x[:, 1:2], columns[1][None, b : b + wide], out=d)
+                n += np.bitwise_count(d)
+            near = n <= radius
             if near.any():
                 i, j = near.nonzero()
+                if len(columns) > 2:
+                    apart = n[i, j].astype(np.int64)
+                    for lane in range(2, len(columns)):
+                        apart += np.bitwise_count(x[i, lane] ^ columns[lane][j + b])
+                    i, j = i[apart <= radius], j[apart <= radius]
                 yield i + a, j + b
 
 
