@@ -154,13 +154,13 @@ def _cut(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for text, wanted in zip(batch.column("text_").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist()):
                 for x in wanted:
                     lo, count = x["meta"] >> 20, x["meta"] >> 10 & 1023
-                    for k, v in enumerate((x["h"], x["g"], x["n"], text[lo : lo + count - 1 + length])):
+                    for k, v in enumerate((x["h"], x["g"], x["n"], text[lo : lo + count - 1 + length], x["meta"] & 1023)):
                         out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["h", "g", "n", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int32())], names=["h", "g", "n", "bytes", "at"])
 
     return run
 
@@ -201,52 +201,76 @@ def _runs(places: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), (last + length).tolist()))
 
 
+def _shared(x: bytes, y: bytes) -> int:
+    """How many bytes x and y begin with in common."""
+    m = min(len(x), len(y))
+    return m - ((int.from_bytes(x[:m], "big") ^ int.from_bytes(y[:m], "big")).bit_length() + 7) // 8
+
+
+def _reach(parts: list[bytes]) -> list[int]:
+    """For each part, how many bytes it begins with as another one does."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for i, j in zip(order, order[1:]):
+        k = _shared(parts[i], parts[j])
+        out[i], out[j] = max(out[i], k), max(out[j], k)
+    return out
+
+
+def common_parts(rows: list[tuple], length: int) -> tuple[list[tuple], list[tuple]]:
+    """An anchor's segments (h, g, n, bytes, at), cut to what the others can share with them around the anchor.
+
+    Returns what has to be ordered, (h, g, n, bytes, start in the segment), and spans that are settled: segments whose
+    remainders are equal repeat as far as these go, and one of them stands for them in the order.
+    """
+    if len(rows) < 2:
+        return [], []
+    right = _reach([x[at:] for _, _, _, x, at in rows])
+    left = _reach([x[:at][::-1] for _, _, _, x, at in rows])
+    equal: dict[tuple[bytes, int], list[tuple]] = {}
+    for (h, g, n, x, at), r, k in zip(rows, right, left):
+        if r + k >= length:
+            equal.setdefault((x[at - k : at + r], k), []).append((h, g, n, at - k))
+    spans = [(h, g, start, start + len(x)) for (x, _), own in equal.items() if len(own) > 1 for h, g, n, start in own if n == 1]
+    if len(equal) < 2:
+        return [], spans
+    return [(*own[0][:2], own[0][2] if len(own) == 1 else 2, x, own[0][3]) for (x, _), own in equal.items()], spans
+
+
 def _order(length: int):
     """Segments sorted by anchor: batches of whole anchors go through a suffix order; single segments' spans come out."""
 
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        found = repeated_starts([r[3] for r in rows], length)
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for (h, g, n, _), places in zip(rows, found):
+    def flush(rows: list[tuple], spans: list[tuple]) -> pa.RecordBatch:
+        found = repeated_starts([r[3] for r in rows], length) if rows else []
+        for (h, g, n, _, start), places in zip(rows, found):
             if n == 1:
-                for a, b in _runs(places, length):
-                    for k, v in enumerate((h, g, a, b)):
-                        out[k].append(v)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["h", "g", "a", "b"])
+                spans += [(h, g, start + a, start + b) for a, b in _runs(places, length)]
+        out = list(zip(*spans)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["h", "g", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple] = []  # of one anchor
         rows: list[tuple] = []
-        own: list[tuple] = []  # of the last anchor
+        spans: list[tuple] = []
         size = 0
-
-        def settle() -> None:
-            nonlocal size
-            kept = common_parts(own, length)
-            rows.extend(kept)
-            size += sum(len(r[3]) for r in kept)
-
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if own and own[-1][0] != row[0]:
-                    settle()
+                    kept, settled = common_parts(own, length)
+                    rows += kept
+                    spans += settled
+                    size += sum(len(r[3]) for r in kept)
                     own = []
-                    if size >= ORDERED:
-                        yield flush(rows)
-                        rows, size = [], 0
+                    if size >= ORDERED or len(spans) >= 50_000:
+                        yield flush(rows, spans)
+                        rows, spans, size = [], [], 0
                 own.append(row)
-        if own:
-            settle()
-        if rows:
-            yield flush(rows)
+        kept, settled = common_parts(own, length)
+        yield flush(rows + kept, spans + settled)
 
     return run
 
 
-def common_parts(rows: list[tuple], length: int) -> list[tuple]:
-    """An anchor's segments, less those that can't share a string of `length` bytes with another one."""
-    return rows if len(rows) > 1 else []
-
-
 def _strings(length: int):
     """A row for each string of a segment: a 128-bit hash and its place."""
 
@@ -307,9 +331,9 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     by_document = open_.groupBy("doc_id", "mark_").agg(F.collect_list(F.struct("h", "g", "n", "meta")).alias("wanted"))
     texts = base.join(by_document.withColumnsRenamed({"doc_id": "id_", "mark_": "own_"}), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark_") == F.col("own_"))).dropDuplicates(["doc_id", "mark_"])
-    cut = texts.select("text_", "wanted").mapInArrow(_cut(length), "h long, g long, n long, bytes binary")
+    cut = texts.select("text_", "wanted").mapInArrow(_cut(length), "h long, g long, n long, bytes binary, at int")
     segments = materialise(cut.join(mixed, "h"))
-    few = segments.where(F.col("segments") <= many).select("h", "g", "n", "bytes").repartition("h").sortWithinPartitions("h", "g")
+    few = segments.where(F.col("segments") <= many).select("h", "g", "n", "bytes", "at").repartition("h").sortWithinPartitions("h", "g")
     ordered = few.mapInArrow(_order(length), "h long, g long, a int, b int")
     strings = segments.where(F.col("segments") > many).select("h", "g", "n", "bytes").mapInArrow(_strings(length), "h long, g long, n long, a int, name binary")
     twice = strings.groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("name")
