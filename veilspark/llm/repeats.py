@@ -154,13 +154,13 @@ def _cut(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for text, wanted in zip(batch.column("text_").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist()):
                 for x in wanted:
                     lo, count = x["meta"] >> 20, x["meta"] >> 10 & 1023
-                    for k, v in enumerate((x["h"], x["g"], x["n"], text[lo : lo + count - 1 + length], x["meta"] & 1023)):
+                    for k, v in enumerate((x["h"], x["g"], x["n"], text[lo : lo + count - 1 + length], x["meta"] & 1023, x["segments"])):
                         out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int32())], names=["h", "g", "n", "bytes", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int64())], names=["h", "g", "n", "bytes", "at", "segments"])
 
     return run
 
@@ -264,7 +264,8 @@ def _order(length: int):
                     if size >= ORDERED or len(spans) >= 50_000:
                         yield flush(rows, spans)
                         rows, spans, size = [], [], 0
-                own.append(row)
+                if not own or own[-1][1] != row[1]:  # rows that repeat id and text bring a segment twice
+                    own.append(row)
         kept, settled = common_parts(own, length)
         yield flush(rows + kept, spans + settled)
 
@@ -329,13 +330,13 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     mixed = classes.groupBy("h").agg(F.count(F.lit(1)).alias("segments"), F.min("n").alias("fewest")).where("segments > 1 and fewest = 1").select("h", "segments")
     open_ = classes.join(mixed, "h").select("h", "g", "n", "segments", "one.*")
 
-    by_document = open_.groupBy("doc_id", "mark_").agg(F.collect_list(F.struct("h", "g", "n", "meta")).alias("wanted"))
-    texts = base.join(by_document.withColumnsRenamed({"doc_id": "id_", "mark_": "own_"}), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark_") == F.col("own_"))).dropDuplicates(["doc_id", "mark_"])
-    cut = texts.select("text_", "wanted").mapInArrow(_cut(length), "h long, g long, n long, bytes binary, at int")
-    segments = materialise(cut.join(mixed, "h"))
+    by_document = open_.groupBy("doc_id", "mark_").agg(F.collect_list(F.struct("h", "g", "n", "meta", "segments")).alias("wanted"))
+    texts = base.join(by_document.withColumnsRenamed({"doc_id": "id_", "mark_": "own_"}), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark_") == F.col("own_")))
+    cut = texts.select("text_", "wanted").mapInArrow(_cut(length), "h long, g long, n long, bytes binary, at int, segments long")
+    segments = materialise(cut)
     few = segments.where(F.col("segments") <= many).select("h", "g", "n", "bytes", "at").repartition("h").sortWithinPartitions("h", "g")
     ordered = few.mapInArrow(_order(length), "h long, g long, a int, b int")
-    strings = segments.where(F.col("segments") > many).select("h", "g", "n", "bytes").mapInArrow(_strings(length), "h long, g long, n long, a int, name binary")
+    strings = segments.where(F.col("segments") > many).dropDuplicates(["h", "g"]).select("h", "g", "n", "bytes").mapInArrow(_strings(length), "h long, g long, n long, a int, name binary")
     twice = strings.groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("name")
     hashed = strings.join(twice, "name").where("n = 1").select("h", "g", "a", (F.col("a") + length).alias("b"))
     whole = classes.where("n > 1").select("h", "g", F.lit(0).alias("a"), (F.shiftright(F.col("one.meta"), 10).bitwiseAND(F.lit(1023)) + (length - 1)).cast("int").alias("b"))
