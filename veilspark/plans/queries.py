@@ -342,9 +342,9 @@ def stream_restore_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="chunks-")
     at = f"{folder}/stream-{uuid.uuid4().hex}"
     chunks, mapping = _chunks(spark, sf_dir)
-    chunks.join(R.as_maps(mapping, "request_id"), "request_id", "left").withColumn("request_id", F.col("request_id").cast("string")).write.parquet(f"{at}/in")
+    chunks.join(R.as_maps(mapping, "request_id"), "request_id", "left").withColumns({"request_id": F.col("request_id").cast("string"), "mapping": F.when(F.col("seq") == 1, F.col("mapping"))}).write.parquet(f"{at}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).parquet(f"{at}/in")
-    q = replacer.restore_stream(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
+    q = replacer.restore_stream(stream, idle=None).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
     q.awaitTermination()
     out = spark.read.parquet(f"{at}/out")
     return out.groupBy(F.col("request_id").cast("long").alias("request_id"), F.col("choice_index").cast("long").alias("turn")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "emitted"))), lambda x: x["emitted"]), "").alias("text"))

@@ -1,7 +1,8 @@
 """Restoring placeholders in chunked responses, where one may be split between chunks.
 
 Of what has come so far, the longest end that could still grow into a placeholder is held back.  The batch form computes
-this over the running text of each field; the stateful form keeps only what is held back.
+this over the running text of each field; the stateful form keeps only what is held back.  Placeholders begin with "<",
+as the masking operators make them, so text without that sign is passed on at once.
 """
 
 from __future__ import annotations
@@ -39,10 +40,10 @@ def restore_chunks(chunks: DataFrame, mapping: DataFrame) -> DataFrame:
     # what is held back is shorter than the longest placeholder, so the end of the text so far tells it
     joined = joined.withColumn("longest_", F.array_max(F.transform(F.map_keys("mapping"), F.length)))
     tail = F.substring(F.col("whole_"), F.greatest(F.col("n_") - F.col("longest_"), F.lit(0)) + 1, F.least(F.col("longest_"), F.col("n_")))
-    keep = F.when(F.col("ends_") | F.col("mapping").isNull(), F.lit(0)).otherwise(held_back(tail, F.map_keys("mapping")))
+    keep = F.when(F.col("ends_") | F.col("mapping").isNull() | ~F.contains(tail, F.lit("<")), F.lit(0)).otherwise(held_back(tail, F.map_keys("mapping")))
     out = joined.withColumn("p_", F.col("n_") - keep).withColumn("from_", F.coalesce(F.lag("p_").over(w), F.lit(0)))
     new = F.substring(F.col("whole_"), F.col("from_") + 1, F.col("p_") - F.col("from_"))
-    return out.withColumn("emitted", replace_placeholders(new, F.col("mapping"))).select(*chunks.columns, "emitted")
+    return out.withColumn("new_", new).withColumn("emitted", F.when(F.contains("new_", F.lit("<")), replace_placeholders(F.col("new_"), F.col("mapping"))).otherwise(F.col("new_"))).select(*chunks.columns, "emitted")
 
 
 class Replacer:
@@ -55,7 +56,7 @@ class Replacer:
 
     def push(self, delta: str) -> str:
         text = self.pending + delta
-        keep = max((n for p in self.order for n in range(min(len(p) - 1, len(text)), 0, -1) if text.endswith(p[:n])), default=0)
+        keep = 0 if "<" not in text else max((n for p in self.order for n in range(min(len(p) - 1, len(text)), 0, -1) if text.endswith(p[:n])), default=0)
         self.pending = text[len(text) - keep :]
         return self._replace(text[: len(text) - keep])
 
@@ -64,18 +65,19 @@ class Replacer:
         return self._replace(text)
 
     def _replace(self, text: str) -> str:
-        for p in self.order:
+        for p in self.order if "<" in text else ():
             text = text.replace(p, self.mapping[p])
         return text
 
 
-def restore_stream(chunks: DataFrame, *, idle: str = "10 minutes") -> DataFrame:
-    """Streaming form.  chunks: request_id, choice_index, field, seq, delta, finish_reason, mapping (map, on each chunk).
+def restore_stream(chunks: DataFrame, *, idle: str | None = "10 minutes") -> DataFrame:
+    """Streaming form.  chunks: request_id, choice_index, field, seq, delta, finish_reason, mapping (map; the field's
+    first chunk must have it, later ones may).
 
     State is the held-back text and mapping of a field; it goes when the field finishes or falls idle, and then what was
-    held back is passed on.
+    held back is passed on.  idle=None sets no timeout: needed with the availableNow trigger, which otherwise never ends.
     """
-    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000)
+    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
     columns = ["request_id", "choice_index", "field", "seq", "emitted"]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -99,8 +101,9 @@ def restore_stream(chunks: DataFrame, *, idle: str = "10 minutes") -> DataFrame:
             state.remove()
         else:
             state.update((list(r.mapping), list(r.mapping.values()), r.pending, last))
-            state.setTimeoutDuration(milliseconds)
+            if idle:
+                state.setTimeoutDuration(milliseconds)
         yield pd.DataFrame(rows, columns=columns)
 
     grouped = chunks.groupBy("request_id", "choice_index", "field")
-    return grouped.applyInPandasWithState(run, "request_id string, choice_index int, field string, seq long, emitted string", "names array<string>, values array<string>, pending string, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return grouped.applyInPandasWithState(run, "request_id string, choice_index int, field string, seq long, emitted string", "names array<string>, values array<string>, pending string, last long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
