@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import col, materialise
 from .grouping import suffix_array
 
-GRAM = 40
+GRAM = 24
 #: Bytes that are worked on together; places in a block and anchors' hashes share 64 bits.
 BLOCK, PLACE = 1 << 20, 22
 #: Bytes whose suffixes are ordered together, and distinct segments of an anchor beyond which its strings are hashed.
@@ -333,14 +333,18 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     by_document = open_.groupBy("doc_id", "mark_").agg(F.collect_list(F.struct("h", "g", "n", "meta", "segments")).alias("wanted"))
     texts = base.join(by_document.withColumnsRenamed({"doc_id": "id_", "mark_": "own_"}), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark_") == F.col("own_")))
     cut = texts.select("text_", "wanted").mapInArrow(_cut(length), "h long, g long, n long, bytes binary, at int, segments long")
-    segments = materialise(cut)
+    largest = mixed.agg(F.max("segments")).first()[0] or 0
+    segments = materialise(cut) if largest > many else cut  # read twice only where an anchor goes the other way
     few = segments.where(F.col("segments") <= many).select("h", "g", "n", "bytes", "at").repartition("h").sortWithinPartitions("h", "g")
     ordered = few.mapInArrow(_order(length), "h long, g long, a int, b int")
-    strings = segments.where(F.col("segments") > many).dropDuplicates(["h", "g"]).select("h", "g", "n", "bytes").mapInArrow(_strings(length), "h long, g long, n long, a int, name binary")
-    twice = strings.groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("name")
-    hashed = strings.join(twice, "name").where("n = 1").select("h", "g", "a", (F.col("a") + length).alias("b"))
+    verdicts = ordered
+    if largest > many:
+        strings = segments.where(F.col("segments") > many).dropDuplicates(["h", "g"]).select("h", "g", "n", "bytes").mapInArrow(_strings(length), "h long, g long, n long, a int, name binary")
+        twice = strings.groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("name")
+        hashed = strings.join(twice, "name").where("n = 1").select("h", "g", "a", (F.col("a") + length).alias("b"))
+        verdicts = verdicts.unionByName(hashed)
     whole = classes.where("n > 1").select("h", "g", F.lit(0).alias("a"), (F.shiftright(F.col("one.meta"), 10).bitwiseAND(F.lit(1023)) + (length - 1)).cast("int").alias("b"))
-    verdicts = whole.unionByName(ordered).unionByName(hashed)
+    verdicts = whole.unionByName(verdicts)
 
     spans = shared.join(verdicts, ["h", "g"]).select("doc_id", "mark_", (F.shiftright("meta", 20) + F.col("a")).alias("a"), (F.shiftright("meta", 20) + F.col("b")).alias("b"))
     of_document = spans.groupBy("doc_id", "mark_").agg(F.collect_set(F.struct("a", "b")).alias("spans")).withColumnsRenamed({"doc_id": "id_", "mark_": "own_"})
