@@ -212,7 +212,10 @@ def train(rows: list[tuple[str, int]], s: Settings) -> Model:
 
 
 def fit_toxicity(df: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings | None = None) -> Model:
-    """Learn from the rows where `learn` holds and text and label are known.  The sample is bounded by per_label."""
+    """Learn from the rows where `learn` holds and text and label are known.
+
+    The sample is bounded: about 1.5 * per_label ids of each label, by a hash of the id, so its ids are broadcast.
+    """
     s = settings or Settings()
     known = labels.where(col(label_col).isin(0, 1)).select(col(id_col).alias("id_"), col(label_col).cast("int").alias("y_")).distinct()
     counts = {r[0]: r[1] for r in known.groupBy("y_").count().collect()}
@@ -220,7 +223,7 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, learn: Column, *, id_col: str
     chosen = F.lit(False)
     for y, count in counts.items():
         chosen = chosen | ((F.col("y_") == y) & (spot < min(1_000_000, 1_500_000 * s.per_label // count + 1)))
-    rows = df.where(learn & col(text_col).isNotNull()).join(known.where(chosen), col(id_col) == F.col("id_")).select(col(text_col), "y_", F.xxhash64("id_", col(text_col))).collect()
+    rows = df.where(learn & col(text_col).isNotNull()).join(F.broadcast(known.where(chosen)), col(id_col) == F.col("id_")).select(col(text_col), "y_", F.xxhash64("id_", col(text_col))).collect()
     rows.sort(key=lambda r: (r[2], r[0], r[1]))
     return train([(r[0], r[1]) for r in rows], s)
 
