@@ -30,7 +30,7 @@ GRAM = 24
 #: Bytes that are worked on together; places in a block and anchors' hashes share 64 bits.
 BLOCK, PLACE = 1 << 20, 22
 #: Bytes whose suffixes are ordered together, and distinct segments of an anchor beyond which its strings are hashed.
-ORDERED, MANY = 1 << 17, 4096
+ORDERED, MANY = 1 << 17, 32_768
 
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _WORD = (1 << 64) - 1
