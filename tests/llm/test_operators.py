@@ -202,12 +202,19 @@ def test_op8_encodes_as_the_library(spark, docs, odd):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     table = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
-    rows = bpe.decode(bpe.encode(table, PATH, P.PATTERN, chunk=700, overlap=60), PATH, P.PATTERN).collect()
+    rows = bpe.decode(bpe.encode(table, PATH, P.PATTERN, chunk=700, overlap=60, verified=True), PATH, P.PATTERN).collect()
     assert len(rows) == table.count()
     for r in rows:
         assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
 
 
+def test_ids_of_another_text_are_refused():
+    c = bpe.codec(PATH, P.PATTERN)
+    assert c.verify(c.encode("some é text"), "some é text").tolist() == c.encode("some é text").tolist()
+    with pytest.raises(ValueError):
+        c.verify(c.encode("some é text"), "other text")
+
+
 def test_chunks_without_a_place_to_meet():
     c = bpe.codec(PATH, P.PATTERN)
     r = random.Random(1)

@@ -71,6 +71,12 @@ class Codec:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
 
+    def verify(self, ids: np.ndarray, text: str) -> np.ndarray:
+        """The ids, decoded to see that they are those of the text."""
+        if self.decode(ids.tolist()) != text.encode("utf-8", "surrogatepass"):
+            raise ValueError("ids do not decode to their text")
+        return ids
+
     def ends(self, chunk: str) -> list[int]:
         return [m.end() for m in self.pattern.finditer(chunk)]
 
@@ -144,10 +150,11 @@ def _portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
             begin, total = i + 1, 0
 
 
-def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP, verified: bool = False) -> DataFrame:
     """df with a column more: the ids of the whole text (array of int).  Null and empty texts have no ids.
 
-    Every row is kept, repeated rows too; an empty table stays empty; a table that already has ids_col is refused.
+    verified: each row's ids are decoded where they are made, and ids that do not give the text's bytes are an error;
+    so no decoded bytes travel and no second Python worker runs.  Every row is kept, repeated rows too; an empty table stays empty; a table that already has ids_col is refused.
     """
     if ids_col.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"the table already has {ids_col}")
@@ -160,7 +167,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
             texts = [x or "" for x in batch.column(text_col).to_pylist()]
             for a, b in _portions([len(x) for x in texts], SENT):
                 part = batch.slice(a, b - a)
-                ids = _ids_column([c.encode(x) for x in texts[a:b]])
+                ids = _ids_column([c.verify(c.encode(x), x) if verified else c.encode(x) for x in texts[a:b]])
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, ids_col])
 
     whole = df.where(length <= chunk + overlap).mapInArrow(short, schema)
@@ -186,7 +193,8 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
         starts = [int(x) * chunk for x in pdf[at]]
         stops = [s + len(x) for s, x in zip(starts, texts)]
         true = stitch(text, starts, stops, [[s + int(x) for x in e] for s, e in zip(starts, pdf["ends"])], c.ends)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], ids_col: [c.encode_pieces(text[a:b] for a, b in zip([0, *true], true))]})
+        ids = c.encode_pieces(text[a:b] for a, b in zip([0, *true], true))
+        return pd.DataFrame({key: [pdf[key].iloc[0]], ids_col: [c.verify(ids, text) if verified else ids]})
 
     found = pieces.repartition(F.col(key), F.col(at)).mapInArrow(boundaries, f"`{key}` long, `{at}` long, piece string, ends array<int>")
     stitched = found.groupBy(key).applyInPandas(join_chunks, f"`{key}` long, `{ids_col}` array<int>")
