@@ -26,8 +26,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike by shingles of five words (similarity 0.8 or more, as 256 bits tell it), the smallest id stays."""
-    return simhash.drop_near_duplicates(docs, words=5, radius=48, lanes=4)
+    """Of documents alike by shingles of five words (Jaccard similarity 0.8 or more), the smallest id stays."""
+    return simhash.drop_near_duplicates(docs, words=5, least=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

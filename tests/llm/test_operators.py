@@ -143,6 +143,41 @@ def test_near_copies_of_the_stage(spark):
     assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("piece", [simhash.PIECE, 300])
+def test_stage_links_are_verified(spark, monkeypatch, piece):
+    """Groups are those of the exact Jaccard similarity of shingle sets, at 0.8, also where one repeated line dominates."""
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    r = random.Random(6)
+    word = lambda: f"w{r.randint(0, 9000)}"
+    texts = {}
+    for k in range(12):
+        base = [word() for _ in range(r.choice([8, 9, 60, 200]))]
+        for m in range(6):  # copies with more and more words replaced: similarities on both sides of 0.8
+            other = list(base)
+            for at in r.sample(range(len(base)), m * len(base) // 90):
+                other[at] = word()
+            texts[len(texts)] = " ".join(other[: len(other) - m % 2])
+    line = " ".join(word() for _ in range(20))
+    for _ in range(4):
+        texts[len(texts)] = " ".join([line] * 60 + [word() for _ in range(80)])
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, t in texts.items() if (w := t.split())}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in texts:
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {i for i in texts if find(i) == i}
+    assert len(texts) > len(want) > 12
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id for x in simhash.drop_near_duplicates(df).collect()} == want
+
+
 def test_op5_held_out_accuracy(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     held = [r for r in queries.op5_language(spark, SF).collect() if r.held_out]
