@@ -2,7 +2,8 @@
 
 Every kind of value is mapped to a number below the size of its format, permuted by a Feistel network with cycle
 walking, and written back in the layout in which it stood.  Equal values get equal pseudonyms, whatever the document
-and the layout, and with the key the permutation can be turned back.
+and the layout, and with the key the permutation can be turned back.  One exception: where a pseudonym would complete
+a longer or earlier valid number with what stands beside it, it is permuted on, so that it can be turned back.
 """
 
 from __future__ import annotations
@@ -93,8 +94,12 @@ def _card(f: Feistel, s: str, back: bool) -> str | None:
     if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
         return None
     n = 10 ** (len(d) - 1)
-    x = str(f.permute(int(d[:-1]), n, "card", back)).zfill(len(d) - 1)
-    return _refill(s, x + luhn_digit(x))
+    while True:  # on past numbers of one digit, which are no cards
+        x = str(f.permute(int(d[:-1]), n, "card", back)).zfill(len(d) - 1)
+        d = x + luhn_digit(x)
+        if len(set(d)) > 1:
+            break
+    return _refill(s, d)
 
 
 def _phone(f: Feistel, s: str, back: bool) -> str | None:
@@ -180,16 +185,85 @@ KINDS: dict[str, tuple[str, re.Pattern, Callable]] = {
     "secret": ("", re.compile(r"(?<=(?<![A-Za-z0-9])AKIA)[0-9A-Z]{16}(?![A-Za-z0-9])"), _secret),
     "hex": ("", re.compile(r"(?i:(?<=password=)|(?<=passwd=)|(?<=token=)|(?<=secret=)|(?<=key=)|(?<=token = \")|(?<=secret = \")|(?<=key = \"))(?:[0-9a-f]{16,128}|[0-9A-F]{16,128})(?![A-Za-z0-9])"), _hex_secret),
     "iban": ("", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
-    "date_ymd": ("", re.compile(r"(?<![0-9A-Za-z./-])[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}(?![0-9A-Za-z/-])(?!\.[0-9])"), _date("ymd")),
-    "date_dmy": ("", re.compile(r"(?<![0-9A-Za-z./-])[0-9]{1,2}([-./])[0-9]{1,2}\1[0-9]{4}(?![0-9A-Za-z/-])(?!\.[0-9])"), _date("dmy")),
+    "date_ymd": ("", re.compile(r"(?<![0-9A-Za-z./-])[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}(?![0-9/-])(?:(?![A-Za-z])|(?=[Tt][0-2][0-9]))(?!\.[0-9])"), _date("ymd")),
+    "date_dmy": ("", re.compile(r"(?<![0-9A-Za-z./-])[0-9]{1,2}([-./])[0-9]{1,2}\1[0-9]{4}(?![0-9/-])(?:(?![A-Za-z])|(?=[Tt][0-2][0-9]))(?!\.[0-9])"), _date("dmy")),
     "ssn": ("", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"), _ssn),
     "ip": ("", re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])(?!\.[0-9])"), _address),
     "phone": ("", re.compile(r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])"), _phone),
-    "card": ("", re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"), _card),
+    "card": ("", re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,}(?![0-9A-Za-z])"), _card),
 }
 _WORTH = re.compile("[0-9@]")
 
 
+def _card_places(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Where a card may stand: whole groups of digits, 13 to 19 together; by start, the longest first."""
+    for run in pattern.finditer(text):
+        groups = [m.span() for m in re.compile("[0-9]+").finditer(text, *run.span())]
+        for k, (a, _) in enumerate(groups):
+            n, ends = 0, []
+            for x, y in groups[k:]:
+                n += y - x
+                if n > 19:
+                    break
+                if n >= 13:
+                    ends.append(y)
+            yield from ((a, b) for b in reversed(ends))
+
+
+def _iban_places(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Where an IBAN may stand: what the pattern takes, then the same without its last words, then later words."""
+    at = 0
+    while m := pattern.search(text, at):
+        a, b = m.span()
+        while b > a and sum(c != " " for c in text[a:b]) >= 15:
+            yield a, b
+            b = text.rfind(" ", a, b)
+        at = a + 1
+
+
+PLACES = {"card": _card_places, "iban": _iban_places}
+
+
+def _placed(text: str, f: Feistel, kind: str, taken: list[tuple[int, int, str, str]], back: bool) -> list[tuple[int, int, str, str]]:
+    """Replacements of a kind whose extent only its check decides: the first place that passes is taken.
+
+    A replacement may make a place pass that failed: then it is permuted on until none does, together with those that
+    share such a place.  Layout and places are kept, so turning back takes the same places and walks the same way.
+    """
+    _, pattern, permuted = KINDS[kind]
+    spans: list[tuple[int, int]] = []
+    failed: list[tuple[int, int]] = []
+    end = 0
+    for a, b in PLACES[kind](text, pattern):
+        if a < end or any(x < b and a < y for x, y, _, _ in taken):
+            continue
+        if permuted(f, text[a:b], back) is None:
+            failed.append((a, b))
+        else:
+            spans.append((a, b))
+            end = b
+    out, k = [], 0
+    while k < len(spans):
+        group, beside = [spans[k]], []
+        k += 1
+        while True:  # failed places that touch the group, and further replacements that those touch
+            beside = [c for c in failed if any(c[0] < y and x < c[1] for x, y in group)]
+            if k < len(spans) and any(c[0] < spans[k][1] and spans[k][0] < c[1] for c in beside):
+                group.append(spans[k])
+                k += 1
+            else:
+                break
+        first, last = min(x for x, _ in group + beside), max(y for _, y in group + beside)
+        part = text[first:last]
+        while True:
+            for a, b in group:
+                part = part[: a - first] + permuted(f, part[a - first : b - first], back) + part[b - first :]
+            if all(permuted(f, part[a - first : b - first], back) is None for a, b in beside):
+                break
+        out += [(a, b, kind, part[a - first : b - first]) for a, b in group]
+    return out
+
+
 def replacements(text: str, f: Feistel, back: bool = False) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, new value) of what is replaced, left to right, without overlaps."""
     if not _WORTH.search(text):
@@ -198,21 +272,16 @@ def replacements(text: str, f: Feistel, back: bool = False) -> list[tuple[int, i
     for kind, (need, pattern, permuted) in KINDS.items():
         if need and need not in text:
             continue
+        if kind in PLACES:
+            taken += _placed(text, f, kind, taken, back)
+            continue
         at = 0
         while m := pattern.search(text, at):
             a, b = m.span()
             at = b
             if any(x < b and a < y for x, y, _, _ in taken):
                 continue
-            s = text[a:b]
-            new = permuted(f, s, back)
-            if new is None and kind == "card":  # two numbers that stand side by side look like one long one
-                for n in re.finditer(r"[0-9]{13,19}", s):
-                    if not any(x < a + n.end() and a + n.start() < y for x, y, _, _ in taken) and (new_ := permuted(f, n.group(), back)):
-                        taken.append((a + n.start(), a + n.end(), kind, new_))
-                first = re.match(r"[0-9]+", s)
-                at = a + first.end()
-                continue
+            new = permuted(f, text[a:b], back)
             if new is not None:
                 taken.append((a, b, kind, new))
     return sorted(taken)
