@@ -240,6 +240,14 @@ def test_op7_targets_and_limits(spark, docs):
     assert again == {r.doc_id: r.taken for r in got}
 
 
+def test_mix_draws_rows_of_repeated_and_null_ids(spark):
+    """Sources meet their targets within a document whether ids are unique, null or repeated."""
+    for name in (lambda i: i, lambda i: None, lambda i: i % 7):
+        df = spark.createDataFrame([(name(i), "a b c d", f"s{i % 2}", i) for i in range(200)], "doc_id long, text string, source string, n long")
+        got = Counter(x.source for x in mixing.take(df, [3.0, 1.0]).collect())
+        assert abs(got["s0"] - 150) <= 1 and abs(got["s1"] - 50) <= 1
+
+
 def test_flight_keeps_totals():
     r = random.Random(3)
     pi, size = [r.random() for _ in range(500)], [float(r.randint(0, 50)) for _ in range(500)]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, materialise
+from .common import col, fresh, materialise
 
 #: Documents of a source that fly together.
 BLOCK = 4096
@@ -59,10 +59,10 @@ def _fly(seed: int, level: int):
     """The flight of one block of a source."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "doc_id", "size"], kind="stable")
+        pdf = pdf.sort_values(["key", "doc_id", "size", "row"], kind="stable")
         rng = random.Random(f"{seed} {level} {pdf['rank'].iloc[0]} {pdf['block'].iloc[0]}")
         pdf["pi"] = flight(pdf["pi"].tolist(), pdf["size"].tolist(), rng)
-        return pdf[["doc_id", "size", "rank", "whole", "pi"]]
+        return pdf[["doc_id", "row", "size", "rank", "whole", "pi"]]
 
     return run
 
@@ -94,7 +94,7 @@ def source_targets(sizes: DataFrame, weights: list[float], most: float) -> DataF
     return leveled.withColumn("rest_", rest).withColumn("target", F.coalesce(target, F.lit(0.0)).cast("double")).drop("level_", "full_", "rest_")
 
 
-def mix(df: DataFrame, weights: list[float], *, most: float = 3.0, landing: str = "words", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
+def mix(df: DataFrame, weights: list[float], *, most: float = 3.0, landing: str = "words", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str | None = None, seed: int = 42) -> DataFrame:
     """A row for each row of df: doc_id, size (words), source_size, target (of its source), copies (times that the whole
     document is taken, long) and taken (words taken, repeats counted, long).
 
@@ -103,18 +103,20 @@ def mix(df: DataFrame, weights: list[float], *, most: float = 3.0, landing: str
     documents are drawn like others and add nothing.  Null sources are a source of their own, the last one.  Repeated
     rows and ids are documents of their own.  Ties are settled by a hash of the id, then id and size, so reruns agree.
     An empty table gives an empty table.
+
+    key_col: a long that names each row, passed on as `row`; it settles what is left of ties, and null ids are dealt by it.
     """
     words = F.coalesce(F.regexp_count(col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    docs = materialise(df.select(col(id_col).cast("long").alias("doc_id"), col(source_col).cast("string").alias("source"), words.alias("size")))
+    docs = materialise(df.select(col(id_col).cast("long").alias("doc_id"), (F.lit(0).cast("long") if key_col is None else col(key_col)).alias("row"), col(source_col).cast("string").alias("source"), words.alias("size")))
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sources = materialise(source_targets(sizes, weights, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     keyed = docs.withColumnRenamed("source", "own_").join(sources, F.col("own_").eqNullSafe(F.col("source")))
     whole = F.floor(F.col("rate_") + NEAR)
-    keyed = keyed.withColumn("rate_", rate).select("doc_id", "size", "rank", whole.cast("long").alias("whole"), F.greatest(F.col("rate_") - whole, F.lit(0.0)).alias("pi"))
-    schema = "doc_id long, size long, rank int, whole long, pi double"
+    keyed = keyed.withColumn("rate_", rate).select("doc_id", "row", "size", "rank", whole.cast("long").alias("whole"), F.greatest(F.col("rate_") - whole, F.lit(0.0)).alias("pi"))
+    schema = "doc_id long, row long, size long, rank int, whole long, pi double"
     largest = sources.agg(F.max("n")).first()[0] or 0
-    key = F.xxhash64("doc_id", F.lit(seed))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("row", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
     done: list[DataFrame] = []
     level, state = 0, keyed
     while True:
@@ -130,7 +132,7 @@ def mix(df: DataFrame, weights: list[float], *, most: float = 3.0, landing: str
         largest = 2 * blocks  # each block leaves two at most
 
     def touch(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size"], kind="stable")
+        pdf = pdf.sort_values(["doc_id", "size", "row"], kind="stable")
         pdf["pi"] = land(pdf["pi"].tolist(), pdf["size"].tolist())
         return pdf
 
@@ -141,15 +143,17 @@ def mix(df: DataFrame, weights: list[float], *, most: float = 3.0, landing: str
     out = decided.join(sources.select("rank", "source_size", "target"), "rank")
     copies = (F.col("whole") + F.floor("pi")).cast("long")
     taken = (F.col("whole") * F.col("size") + F.round(F.col("pi") * F.col("size"))).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), taken.alias("taken"))
+    return out.select("doc_id", *(["row"] if key_col else []), "size", "source_size", "target", copies.alias("copies"), taken.alias("taken"))
 
 
-def take(df: DataFrame, weights: list[float], *, id_col: str = "doc_id", **how) -> DataFrame:
-    """df's rows, each as often as the mix takes its document, all columns as they are; rows with a null id go.
+def take(df: DataFrame, weights: list[float], **how) -> DataFrame:
+    """df's rows, each as often as the mix takes it, all columns as they are.
 
-    Rows that repeat an id are all taken as often as the one that is taken least.
+    Each row is drawn by itself, also where ids repeat or are null: a row key, written down with the rows, leads back.
     """
-    drawn = mix(df, weights, id_col=id_col, landing="whole", **how).groupBy("doc_id").agg(F.min("copies").alias("copies_")).where("copies_ > 0")
-    both = df.join(drawn.withColumnRenamed("doc_id", "drawn_"), col(id_col).cast("long") == F.col("drawn_"))
+    row, drawn, copies, copy = fresh(df, "row_", "drawn_", "copies_", "copy_")
+    keyed = materialise(df.withColumn(row, F.monotonically_increasing_id()))
+    mixed = mix(keyed, weights, key_col=row, landing="whole", **how).where("copies > 0").select(F.col("row").alias(drawn), F.col("copies").alias(copies))
+    both = keyed.join(mixed, F.col(row) == F.col(drawn))
     columns = [col(c) for c in df.columns]
-    return both.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_"))).alias("copy_")).select(*columns)
+    return both.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copy)).select(*columns)
