@@ -178,6 +178,17 @@ def test_stage_links_are_verified(spark, monkeypatch, piece):
     assert {x.doc_id for x in simhash.drop_near_duplicates(df).collect()} == want
 
 
+def test_stages_keep_one_of_equal_rows(spark):
+    """Of equal texts one row stays where ids repeat or are null, and no other text goes with a repeated id."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    near = b + " more"
+    rows = [(1, a), (1, a), (1, a.upper()), (None, b), (None, b), (2, c), (None, c), (3, d), (3, near), (None, near), (4, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    exact = cuckoo.drop_exact_duplicates(df)
+    assert exact.columns == df.columns and sorted((x.text or "").lower() for x in exact.collect()) == sorted(["", a, b, c, d, near])
+    assert sorted((x.text or "").lower() for x in simhash.drop_near_duplicates(df).collect()) == sorted(["", a, c, d, near])
+
+
 def test_op5_held_out_accuracy(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     held = [r for r in queries.op5_language(spark, SF).collect() if r.held_out]

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -45,3 +46,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def keep_named(df: DataFrame, name: Column, names: DataFrame, text_col: str) -> DataFrame:
+    """Of df's rows whose name (a string) is in names (one column, distinct) one each, the one of the smallest text."""
+    own, kept, place = fresh(df, "name_", "kept_", "place_")
+    there = df.withColumn(own, name).join(names.toDF(kept), F.col(own) == F.col(kept), "left_semi")
+    return there.withColumn(place, F.row_number().over(Window.partitionBy(own).orderBy(col(text_col)))).where(F.col(place) == 1).drop(own, place)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, col, fresh, materialise
+from .common import ascii_lower, col, keep_named, materialise
 
 
 class CuckooIndex:
@@ -177,8 +177,8 @@ def exact_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_exact_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows that stay, all columns as they are; of rows that repeat id and text, all stay."""
-    (digest,) = fresh(df, "digest_")
-    kept = exact_duplicates(df, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("keep_"), F.unhex("text_sha256").alias("kept_digest_")).distinct()
-    keyed = df.withColumn(digest, F.unhex(F.sha2(ascii_lower(F.coalesce(col(text_col), F.lit(""))), 256)))
-    return keyed.join(kept, col(digest).eqNullSafe(F.col("kept_digest_")) & col(id_col).cast("long").eqNullSafe(F.col("keep_")), "left_semi").drop(digest)
+    """One of df's rows for each text, all columns as they are: the largest id, also where ids repeat or are null."""
+    name = lambda digest, doc_id: F.concat_ws(":", digest, doc_id.cast("long"))
+    kept = exact_duplicates(df, id_col=id_col, text_col=text_col).where("kept").select(name(F.col("text_sha256"), F.col("doc_id"))).distinct()
+    digest = F.sha2(ascii_lower(F.coalesce(col(text_col), F.lit(""))), 256)
+    return keep_named(df, name(digest, col(id_col)), kept, text_col)

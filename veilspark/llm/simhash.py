@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, materialise
+from .common import col, keep_named, materialise
 from .graph import components
 
 #: Fingerprints in a block, and the sides of a tile.
@@ -211,6 +211,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return docs.select("doc_id", "fingerprint").join(verdict, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def _row_name(id_col: str, text_col: str) -> Column:
+    return F.concat_ws(":", F.sha2(F.coalesce(col(text_col), F.lit("")), 256), col(id_col).cast("long"))
+
+
 def _with_sets(df: DataFrame, words: int, lanes: int) -> DataFrame:
     """df: (doc_id, row, text_).  Without the text; name: of its set of shingles; fingerprint of the set; the set's size."""
 
@@ -312,8 +316,7 @@ def similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wo
     worst 48 (sets of four and five shingles), unrelated sets 128 (deviation 8).  Sets whose sizes alone exclude
     `least`, and unequal sets too small for it, never meet.
     """
-    row = F.concat_ws(":", F.sha2(F.coalesce(col(text_col), F.lit("")), 256), col(id_col).cast("long"))
-    base = df.select(col(id_col).cast("long").alias("doc_id"), row.alias("row"), col(text_col).alias("text_"))
+    base = df.select(col(id_col).cast("long").alias("doc_id"), _row_name(id_col, text_col).alias("row"), col(text_col).alias("text_"))
     docs = materialise(_with_sets(base, words, lanes))
     place = F.struct(F.col("doc_id").isNull().alias("null_"), "doc_id", "row")
     names = materialise(docs.groupBy("name").agg(F.min(place).alias("least"), F.first("words").alias("words"), F.first("n").alias("n")))
@@ -329,9 +332,6 @@ def similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wo
 
 
 def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """df without the documents that are not the first of their group of `similar` ones, all columns as they are.
-
-    Rows with a null id stay: nothing names them.
-    """
-    stay = similar(df, id_col=id_col, text_col=text_col, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    return df.join(stay, col(id_col).cast("long") == F.col("gone_"), "left_anti")
+    """The first row of each group of `similar` documents, all columns as they are, also where ids repeat or are null."""
+    first = similar(df, id_col=id_col, text_col=text_col, **how).select("first_row").distinct()
+    return keep_named(df, _row_name(id_col, text_col), first, text_col)
