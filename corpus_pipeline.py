@@ -14,8 +14,13 @@ from veilspark.llm.queries import RANKS, WEIGHTS
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go (null texts, texts without a letter); the others take the one predicted."""
+    """Documents without a language go (null texts, texts without a letter); the others take the one predicted.
+
+    Where no row tells its language there is nothing to predict: texts with a letter stay as they are.
+    """
     model = language.fit_language(docs, F.lit(True))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language.identify(docs, model, lang_col="lang_pred_", score_col="lang_score_").where(F.col("lang_pred_") != language.UNDETERMINED)
     return found.withColumn("lang", F.col("lang_pred_")).select(*docs.columns)
 

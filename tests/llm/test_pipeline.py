@@ -19,3 +19,9 @@ def test_stages_keep_columns_and_act(spark, tmp_path):
     out = c.run(spark, str(tmp_path))
     assert set(out.columns) == {*docs.columns, "ids", "n_tokens"} and 0 < out.count()
     assert {x.doc_id for x in out.collect()} <= set(range(1, 40)) | {100}
+
+
+def test_documents_without_any_language_label_stay(spark, tmp_path):
+    rows = [(1, "some words here", None, "s", 15), (2, "12 34 !!", None, "s", 8), (3, None, None, "s", 0), (4, "слово", None, "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(tuple(x) for x in c.identify_language(spark, docs, str(tmp_path)).collect()) == [rows[0], rows[3]]
