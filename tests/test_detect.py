@@ -87,3 +87,12 @@ def test_any_chunking_restores_the_same_text(parts, cuts):
     at = sorted({0, len(text), *(c for c in cuts if c < len(text))})
     r = Replacer(mapping)
     assert "".join([*(r.push(text[a:b]) for a, b in zip(at, at[1:])), r.flush()]) == whole
+
+
+def test_block_policy_scans_every_conversation(spark, tmp_path):
+    rows = [(1, 0, "user", "write to a.b@mail.example.com"), (2, 0, "user", "nothing here"), (2, 1, "user", None), (3, 0, "user", "hello")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    from veilspark.plans.queries import QUERIES
+
+    got = {x.conv_id: (x.blocked, x.entities) for x in QUERIES["block_policy"](spark, str(tmp_path)).collect()}
+    assert got == {1: (True, "EMAIL_ADDRESS"), 2: (False, ""), 3: (True, "EMAIL_ADDRESS,PHONE_NUMBER")}
