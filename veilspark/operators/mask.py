@@ -9,24 +9,30 @@ from pyspark.sql.window import Window
 from . import spans as S
 
 
+#: A span's replacement.
+REPLACED = "array<struct<start:int,end:int,placeholder:string>>"
+
+
+def _placeholder(entity: Column, n: Column) -> Column:
+    return F.concat(F.lit("<"), entity, F.lit("_"), n.cast("string"), F.lit(">"))
+
+
 def number_placeholders(df: DataFrame, request: str, order: str, spans_col: str = "spans") -> DataFrame:
     """A row a span with its placeholder <TYPE_n>: n runs over the whole request by type, in the order of its fields and
-    then from left to right; equal values get numbers of their own.  One shuffle, by request and type."""
-    flat = df.select(request, order, F.explode(spans_col).alias("s")).select(request, order, "s.*")
+    then from left to right; equal values get numbers of their own.  One shuffle, by request."""
+    flat = df.select(request, order, F.explode_outer(spans_col).alias("s")).where(F.col("s").isNotNull()).select(request, order, "s.*")
     n = F.row_number().over(Window.partitionBy(request, "entity_type").orderBy(order, "start"))
-    return flat.withColumn("placeholder", F.concat(F.lit("<"), "entity_type", F.lit("_"), n.cast("string"), F.lit(">")))
+    return flat.repartition(F.col(request)).withColumn("placeholder", _placeholder(F.col("entity_type"), n))
 
 
 def splice(text: Column, replaced: Column) -> Column:
     """text with spans (struct<start, end, placeholder>, disjoint, by place) replaced."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.concat(acc["out"], between, s["placeholder"]).alias("out"), s["end"].alias("at"))
+    def joined(r: Column) -> Column:
+        head = F.array_join(F.zip_with(S.cut_out(text, r), r, lambda c, s: F.concat(c["before"], s["placeholder"])), "")
+        return F.concat(head, F.substring(text, F.element_at(r, -1)["end"] + 1, F.length(text)))
 
-    tail = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(replaced) > 0, F.aggregate(replaced, start, step, tail)).otherwise(text)
+    return F.when(F.size(replaced) > 0, S.once(replaced, joined)).otherwise(text)
 
 
 def mask(df: DataFrame, request: str, order: str, text_col: str = "text", spans_col: str = "spans") -> tuple[DataFrame, DataFrame]:
@@ -37,26 +43,53 @@ def mask(df: DataFrame, request: str, order: str, text_col: str = "text", spans_
     ready = df.withColumn(spans_col, S.normalise(F.coalesce(F.col(spans_col), S.empty()), F.col(text_col)))
     numbered = number_placeholders(ready, request, order, spans_col)
     per_field = numbered.groupBy(request, order).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("replaced_"))
-    masked = ready.join(per_field, [request, order], "left").withColumn("masked_text", splice(F.col(text_col), F.coalesce("replaced_", F.array().cast("array<struct<start:int,end:int,placeholder:string>>")))).drop("replaced_")
+    masked = ready.join(per_field, [request, order], "left").withColumn("masked_text", splice(F.col(text_col), F.coalesce("replaced_", F.array().cast(REPLACED)))).drop("replaced_")
     mapping = numbered.select(request, "placeholder", F.col("text").alias("original"), "entity_type")
     return masked, mapping
 
 
+def mask_requests(df: DataFrame, request: str, order: str, text_col: str = "text", spans_col: str = "spans", out: str = "masked_text") -> DataFrame:
+    """df with masked_text, and in `mapping` what was replaced in this field: one shuffle, by request, for both.
+
+    Placeholders are numbered as number_placeholders() does: of each type, a field goes on after the spans of the
+    request's earlier fields.  Rows of one request and order are told apart by nothing, so orders must be unique.
+    """
+    ready = df.withColumn(spans_col, S.normalise(F.coalesce(F.col(spans_col), S.empty()), F.col(text_col)))
+    types = F.transform(spans_col, lambda s: s["entity_type"])
+    kinds = F.transform(F.array_distinct(types), lambda t: F.struct(t.alias("type"), F.size(F.filter(types, lambda x: x == t)).alias("n")))
+    before = F.flatten(F.collect_list("kinds_").over(Window.partitionBy(request).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
+    numbered = ready.withColumn("kinds_", kinds).withColumn("before_", before)
+
+    def replacements(spans: Column) -> Column:
+        """By type, the spans numbered after those of earlier fields; then by place."""
+
+        def of(t: Column) -> Column:
+            sofar = F.aggregate(F.filter("before_", lambda k: k["type"] == t), F.lit(0), lambda acc, k: acc + k["n"])
+            own = F.filter(spans, lambda s: s["entity_type"] == t)
+            return S.once(sofar, lambda m: F.transform(own, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), _placeholder(t, i + m + 1).alias("placeholder"))))
+
+        return F.array_sort(F.flatten(F.transform(F.transform("kinds_", lambda k: k["type"]), of)))
+
+    out_ = numbered.withColumn("replaced_", F.when(F.size(spans_col) > 0, replacements(F.col(spans_col))).otherwise(F.array().cast(REPLACED)))
+    out_ = out_.withColumn(out, splice(F.col(text_col), F.col("replaced_")))
+    pairs = F.zip_with("replaced_", spans_col, lambda r, s: F.struct(r["placeholder"].alias("placeholder"), s["text"].alias("original"), s["entity_type"].alias("entity_type")))
+    return out_.withColumn("mapping", pairs).drop("kinds_", "before_", "replaced_")
+
+
 def mask_rows(df: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """Where each row is a request of one field: masked_text and the mapping, without a shuffle."""
-    ready = S.normalise(F.coalesce(F.col(spans_col), S.empty()), F.col(text_col))
-    start = F.struct(F.array().cast("array<struct<start:int,end:int,placeholder:string>>").alias("out"), F.array().cast("array<string>").alias("types"))
-
-    def step(acc: Column, s: Column) -> Column:
-        n = F.size(F.filter(acc["types"], lambda t: t == s["entity_type"])) + 1
-        one = F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), s["entity_type"], F.lit("_"), n.cast("string"), F.lit(">")).alias("placeholder"))
-        return F.struct(F.array_append(acc["out"], one).alias("out"), F.array_append(acc["types"], s["entity_type"]).alias("types"))
-
-    replaced = F.aggregate("ready_", start, step, lambda acc: acc["out"])
-    original = lambda r: F.substring(F.col(text_col), r["start"] + 1, r["end"] - r["start"])
-    out = df.withColumn("ready_", ready).withColumn("replaced_", replaced)
-    out = out.withColumn("masked_text", splice(F.col(text_col), F.col("replaced_")))
-    return out.withColumn("mapping", F.map_from_entries(F.transform("replaced_", lambda r: F.struct(r["placeholder"], original(r))))).drop("ready_", "replaced_")
+    text = F.col(text_col)
+    out = df.withColumn("ready_", S.normalise(F.coalesce(F.col(spans_col), S.empty()), text))
+
+    def of(t: Column) -> Column:
+        own = F.filter("ready_", lambda s: s["entity_type"] == t)
+        return F.transform(own, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), _placeholder(t, i + 1).alias("placeholder")))
+
+    replaced = F.array_sort(F.flatten(F.transform(F.array_distinct(F.transform("ready_", lambda s: s["entity_type"])), of)))
+    out = out.withColumn("replaced_", F.when(F.size("ready_") > 0, replaced).otherwise(F.array().cast(REPLACED)))
+    out = out.withColumn("masked_text", splice(text, F.col("replaced_")))
+    entries = F.zip_with("replaced_", "ready_", lambda r, s: F.struct(r["placeholder"], s["text"]))
+    return out.withColumn("mapping", F.map_from_entries(entries)).drop("ready_", "replaced_")
 
 
 def policy(name: str | None) -> str:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from ..operators.metrics import ANALYZER_BUCKETS, SIZE_BUCKETS
 from .synthetic import N10, N11, N12, TEXTS, TURN_TEXT
 
+# The weights, patterns and scores below are those of the recognizers and checks, in the other engine's dialect.
 _DIGITS = r"regexp_replace(m, '[^0-9]', '', 'g')"
 
 
@@ -39,7 +40,7 @@ _PASSPORT = f"length({_DIGITS}) = 10 AND substr({_DIGITS}, 1, 2) <> '00'"
 _INN = f"CASE WHEN length(m) = 10 THEN {_inn10('m')} ELSE {_inn12('m')} END"
 _STREET = r"(?:ул\.?|улица|пр-т|проспект|пер\.?|переулок|б-р|бульвар|шоссе|ш\.?)\s*[А-ЯЁ][а-яёА-ЯЁ\s\-]{1,50}?[,\.]?\s*(?:д\.|дом)?\s*\d+[а-яё]?"
 
-# (entity, score, pattern, condition on the match m), in the registry's order
+# Fixed values: (entity, score, pattern, condition on the match m), in the registry's order
 _PATTERNS = [
     ("PHONE_NUMBER", "1.0", r"(?:\+?7|8)[\s\-\.]?\(?\d{3}\)?[\s\-\.]?\d{3}[\s\-\.]?\d{2}[\s\-\.]?\d{2}", _PHONE),
     ("PHONE_NUMBER", "1.0", r"\d+", "length(m) = 10 AND substr(m, 1, 1) = '9'"),
@@ -159,6 +160,15 @@ ORACLE_SQL |= {
     "stream_restore_stateful": f"SELECT conv_id AS request_id, turn, text FROM ({_TURNS})",
 }
 
+_LAST = f"CAST(ceil(length({_MASKED}) / 7.0) AS BIGINT)"
+ORACLE_SQL |= {
+    "stream_finish_empty_delta": f"SELECT conv_id AS request_id, turn, 'content' AS field, text || '<PHONE_' AS text, {_LAST} + 1 AS last_seq FROM ({_TURNS}) UNION ALL SELECT conv_id, turn, 'reasoning_content', repeat('<EMAIL_', {_LAST}), {_LAST} + 1 FROM ({_TURNS})",
+    "stream_outcomes": """WITH s AS (SELECT o_orderkey AS k, o_orderkey % 11 <> 0 AS known, o_orderkey % 7 = 0 AS failed, o_orderkey % 5 <> 0 AS has FROM orders),
+        r AS (SELECT CASE WHEN NOT known THEN 'skipped' WHEN failed THEN 'error' WHEN NOT has THEN 'no_mapping' WHEN k % 3 = 0 THEN NULL WHEN k % 2 = 0 THEN 'restored' ELSE 'no_placeholders' END AS result,
+            CASE WHEN known AND failed THEN 'reject' WHEN known AND has THEN 'restore' ELSE 'pass' END AS action, known AND NOT failed AS done, known AND NOT failed AND has AS delete_mapping FROM s)
+        SELECT *, count(*) AS n FROM r GROUP BY ALL""",
+}
+
 _FIELDS = """WITH f AS (SELECT o_custkey AS request_id, CASE WHEN o_custkey % 19 <> 0 THEN o_orderkey END AS ord, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS n_spans,
         CASE WHEN o_custkey % 19 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN 'failed' WHEN o_orderkey % 101 = 0 THEN 'overloaded' END AS error, o_custkey % 23 = 0 AS unsaved FROM orders),
     a AS (SELECT request_id, count(ord) AS n, min(ord) FILTER (error IS NOT NULL) AS failed_at, arg_min(error, ord) FILTER (error IS NOT NULL) AS error, bool_or(unsaved) AS unsaved FROM f GROUP BY request_id),

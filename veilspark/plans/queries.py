@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +14,7 @@ from ..operators import metrics, ner, routing
 from ..operators import restore as R
 from ..operators import spans as S
 from ..operators import targets as T
-from ..operators.detect import detect, detected_rows
+from ..operators.detect import detect, detected_rows, spread
 from ..sources import mappings
 from ..streaming import replacer
 from .synthetic import N10, N11, N12, TURN_TEXT, customers, table, turns
@@ -24,13 +23,21 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares for intermediate data."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
+
+
 def query(f: Query) -> Query:
     QUERIES[f.__name__] = f
     return f
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def _found(name: str, source, entities=None, key="doc_id", **how) -> None:
@@ -95,7 +102,16 @@ def entity_counts_by_lang(spark, sf_dir):
 
 
 def _turn_spans(spark, sf_dir):
-    return detect(turns(spark, sf_dir), entities=["PHONE_NUMBER", "EMAIL_ADDRESS"])
+    return detect(spread(turns(spark, sf_dir)), entities=["PHONE_NUMBER", "EMAIL_ADDRESS"])
+
+
+def _masked_turns(spark, sf_dir):
+    """Turns with masked_text and the placeholders of each, numbered by conversation."""
+    return M.mask_requests(_turn_spans(spark, sf_dir), "conv_id", "turn")
+
+
+def _mapping(masked: DataFrame) -> DataFrame:
+    return masked.select("conv_id", F.explode_outer("mapping").alias("m")).where(F.col("m").isNotNull()).select("conv_id", "m.*")
 
 
 @query
@@ -111,17 +127,17 @@ def mask_documents(spark, sf_dir):
 
 @query
 def mask_conversations(spark, sf_dir):
-    return M.mask(_turn_spans(spark, sf_dir), "conv_id", "turn")[0].select("conv_id", "turn", "masked_text")
+    return _masked_turns(spark, sf_dir).select("conv_id", "turn", "masked_text")
 
 
 @query
 def mapping_rows(spark, sf_dir):
-    return M.mask(_turn_spans(spark, sf_dir), "conv_id", "turn")[1]
+    return _mapping(_masked_turns(spark, sf_dir))
 
 
 @query
 def mapping_size_histogram(spark, sf_dir):
-    sizes = M.mask(_turn_spans(spark, sf_dir), "conv_id", "turn")[1].groupBy("conv_id").agg(F.count(F.lit(1)).cast("double").alias("size"))
+    sizes = _mapping(_masked_turns(spark, sf_dir)).groupBy("conv_id").agg(F.count(F.lit(1)).cast("double").alias("size"))
     return metrics.histogram(sizes, "size", metrics.SIZE_BUCKETS)
 
 
@@ -157,8 +173,8 @@ def fail_mode_outcomes(spark, sf_dir):
 
 @query
 def restore_full(spark, sf_dir):
-    masked, mapping = M.mask(_turn_spans(spark, sf_dir), "conv_id", "turn")
-    return R.restore(masked, mapping, "conv_id", "masked_text").select("conv_id", "turn", "restored_text")
+    masked = R.with_request_maps(_masked_turns(spark, sf_dir), "conv_id")
+    return masked.select("conv_id", "turn", R.replace_placeholders(F.col("masked_text"), F.col("mapping")).alias("restored_text"))
 
 
 @query
@@ -177,7 +193,7 @@ def mask_unmask_roundtrip(spark, sf_dir):
 
 @query
 def mapping_entity_counts(spark, sf_dir):
-    rows = M.mask(_turn_spans(spark, sf_dir), "conv_id", "turn")[1]
+    rows = _mapping(_masked_turns(spark, sf_dir))
     return metrics.counts(rows.select(R.entity_of(F.col("placeholder")).alias("entity_type")), "entity_type")
 
 
@@ -270,20 +286,46 @@ def ner_gate(spark, sf_dir):
     return _aligned(spark, sf_dir, wanted) if ner.gate(0.7, wanted) and not ner.gate(0.71, None) else _aligned(spark, sf_dir, [])
 
 
-def _chunks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Masked turns, seven characters a chunk."""
-    masked, mapping = M.mask(_turn_spans(spark, sf_dir), "conv_id", "turn")
+def _chunks(spark, sf_dir) -> DataFrame:
+    """Masked turns, seven characters a chunk, each with its conversation's mapping."""
+    masked = R.with_request_maps(_masked_turns(spark, sf_dir), "conv_id")
     n = F.ceil(F.length("masked_text") / 7)
-    rows = masked.select(F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("choice_index"), F.lit("content").alias("field"), "masked_text", n.alias("n"), F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("seq"))
-    chunks = rows.select("request_id", "choice_index", "field", "seq", F.substring(F.col("masked_text"), ((F.col("seq") - 1) * 7 + 1).cast("int"), F.lit(7)).alias("delta"), F.when(F.col("seq") == F.col("n"), "stop").alias("finish_reason"))
-    return chunks, mapping.withColumnRenamed("conv_id", "request_id")
+    rows = masked.select(F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("choice_index"), F.lit("content").alias("field"), "mapping", "masked_text", n.alias("n"))
+    rows = rows.withColumn("pieces", F.transform(F.sequence(F.lit(1).cast("long"), "n"), lambda k: F.struct(k.alias("seq"), F.substring(F.col("masked_text"), ((k - 1) * 7 + 1).cast("int"), F.lit(7)).alias("delta"))))
+    return rows.select("request_id", "choice_index", "field", "mapping", F.explode("pieces").alias("p"), "n").select("request_id", "choice_index", "field", "p.seq", "p.delta", F.when(F.col("p.seq") == F.col("n"), "stop").alias("finish_reason"), "mapping")
+
+
+def _texts(out: DataFrame) -> DataFrame:
+    """What was passed on, joined."""
+    parts = F.array_sort(F.collect_list(F.struct("seq", "emitted")))
+    return out.groupBy(F.col("request_id").cast("long").alias("request_id"), F.col("choice_index").cast("long").alias("turn")).agg(F.array_join(parts["emitted"], "").alias("text"))
 
 
 @query
 def stream_restore_windowed(spark, sf_dir):
-    chunks, mapping = _chunks(spark, sf_dir)
-    out = replacer.restore_chunks(chunks, mapping)
-    return out.groupBy("request_id", F.col("choice_index").cast("long").alias("turn")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "emitted"))), lambda x: x["emitted"]), "").alias("text"))
+    return _texts(replacer.restore_chunks(_chunks(spark, sf_dir)))
+
+
+@query
+def stream_finish_empty_delta(spark, sf_dir):
+    """As providers send it: the last chunk has an empty delta and the finish_reason; it ends what both fields hold back."""
+    last = F.col("finish_reason").isNotNull()
+    cut = _chunks(spark, sf_dir).withColumn("delta", F.when(last, F.concat("delta", F.lit("<PHONE_"))).otherwise(F.col("delta")))
+    quoted = F.to_json(F.struct(F.struct("delta").alias("x")))
+    content = F.regexp_extract(quoted, r'(?s)^\{"x":\{"delta":(.*)\}\}$', 1)
+    chunk = F.concat(F.lit('{"choices":[{"index":'), F.col("choice_index").cast("string"), F.lit(',"delta":{"content":'), content, F.lit(',"reasoning_content":"<EMAIL_"}}]}'))
+    end = F.concat(F.lit('{"choices":[{"index":'), F.col("choice_index").cast("string"), F.lit(',"delta":{},"finish_reason":"stop"}]}'))
+    body = cut.select("request_id", "mapping", F.explode(F.when(last, F.array(F.struct("seq", chunk.alias("chunk")), F.struct((F.col("seq") + 1).alias("seq"), end.alias("chunk")))).otherwise(F.array(F.struct("seq", chunk.alias("chunk"))))).alias("c")).select("request_id", "mapping", "c.*")
+    out = replacer.restore_chunks(T.delta_targets(body))
+    parts = F.array_sort(F.collect_list(F.struct("seq", "emitted")))
+    return out.groupBy("request_id", F.col("choice_index").cast("long").alias("turn"), "field").agg(F.array_join(parts["emitted"], "").alias("text"), F.max("seq").alias("last_seq"))
+
+
+@query
+def stream_outcomes(spark, sf_dir):
+    k = F.col("o_orderkey")
+    streams = table(spark, sf_dir, "orders").select(F.when(k % 11 != 0, k).alias("request_id"), (k % 5 != 0).alias("has_mapping"), (k % 7 == 0).alias("load_failed"), (k % 3 == 0).alias("upstream_failed"), (k % 2 == 0).alias("changed"))
+    return metrics.counts(replacer.stream_outcomes(streams, on_failure="fail-closed"), "result", "action", "done", "delete_mapping")
 
 
 @query
@@ -338,17 +380,12 @@ def response_outcome_counts(spark, sf_dir):
 
 def stream_restore_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming form over written chunks, run to its end; the sink's table is returned."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="chunks-")
-    at = f"{folder}/stream-{uuid.uuid4().hex}"
-    chunks, mapping = _chunks(spark, sf_dir)
-    chunks.join(R.as_maps(mapping, "request_id"), "request_id", "left").withColumns({"request_id": F.col("request_id").cast("string"), "mapping": F.when(F.col("seq") == 1, F.col("mapping"))}).write.parquet(f"{at}/in")
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _chunks(spark, sf_dir).withColumns({"request_id": F.col("request_id").cast("string"), "mapping": F.when(F.col("seq") == 1, F.col("mapping"))}).write.parquet(f"{at}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).parquet(f"{at}/in")
     q = replacer.restore_stream(stream, idle=None).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
     q.awaitTermination()
-    out = spark.read.parquet(f"{at}/out")
-    return out.groupBy(F.col("request_id").cast("long").alias("request_id"), F.col("choice_index").cast("long").alias("turn")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "emitted"))), lambda x: x["emitted"]), "").alias("text"))
+    return _texts(spark.read.parquet(f"{at}/out"))
 
 
 QUERIES["stream_restore_stateful"] = stream_restore_stateful
