@@ -328,6 +328,34 @@ def test_cuckoo_index_against_a_dictionary():
     assert all(index.find(k) == known.get(k) for k in keys)
 
 
+def test_filter_in_one_bucket():
+    """Keys that share the bytes which name their bucket: few false hits, and a table well filled before it is resized."""
+    keys = [b"\x07\x07" + hashlib.sha256(str(i).encode()).digest()[2:] for i in range(30_000)]
+    index = cuckoo.CuckooIndex()
+    loads = []
+    for k in keys[:15_000]:
+        before, load = index.resizes, index.load
+        assert index.insert(k, 1)
+        loads += [load] * (index.resizes - before)
+    index.looked = index.verified = index.false_hits = 0
+    assert all(index.find(k) is None for k in keys[15_000:]) and index.false_hits < 15
+    assert all(index.find(k) == 1 for k in keys[:15_000]) and index.verified == 15_000
+    assert min(loads[3:]) > 0.8 and len(index.marks) <= 32_768
+
+
+def test_update_of_live_digests(spark):
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    live = spark.createDataFrame([], "digest binary, n long")
+    live, new = cuckoo.update_index(live, docs([(1, "a"), (2, "A"), (3, "b"), (None, "b"), (None, None)]), docs([]))
+    assert sorted((x.doc_id is None, x.doc_id) for x in new.collect() if x.doc_id) == [(False, 2), (False, 3)] and new.count() == 3
+    assert sorted(x.n for x in live.collect()) == [1, 2, 2]
+    live, new = cuckoo.update_index(live, docs([(4, "a"), (5, "b"), (6, "c")]), docs([(1, "a"), (3, "b"), (None, "b"), (9, "unknown")]))
+    assert sorted(x.doc_id for x in new.collect()) == [5, 6]  # "a" is live by one document, "b" had gone
+    assert sorted(x.n for x in live.collect()) == [1, 1, 1, 2]
+    live, new = cuckoo.update_index(live, docs([]), docs([(2, "a"), (4, "a"), (5, "b"), (6, "c"), (0, "")]))
+    assert live.count() == new.count() == 0
+
+
 def test_op10_twin(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
@@ -353,5 +381,7 @@ def test_odd_tables(spark, odd, empty):
         assert cuckoo.drop_exact_duplicates(table).columns == table.columns == mixing.take(table, [1.0]).columns == simhash.drop_near_duplicates(table).columns
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in cuckoo.exact_duplicates(odd).collect()}
     assert (4, 7, 3, False) in got and (None, 7, 3, False) in got and (3, 3, 3, True) in got and (1, 3, 3, False) in got
+    same = spark.createDataFrame([(1, "t")] * 3 + [(None, "u")] * 2, "doc_id long, text string")
+    assert sorted(r.kept for r in cuckoo.exact_duplicates(same).collect()) == [False] * 3 + [True] * 2
     und = {r.doc_id: r.lang_pred for r in language.identify(odd, language.fit_language(odd, F.lit(True)), score_col="s").collect()}
     assert und[3] == und[1] == "und" != und[6]

@@ -5,8 +5,8 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 ORACLE_SQL = {
     "op10_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents),
-             g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
-        SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.norm) AS text_sha256
-        FROM t JOIN g USING (norm)
+             g AS (SELECT doc_id, norm, max(doc_id) OVER own AS keep_id, count(*) OVER own AS group_size, row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) AS place
+                   FROM t WINDOW own AS (PARTITION BY norm))
+        SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM g
     """,
 }
