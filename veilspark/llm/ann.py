@@ -2,7 +2,12 @@
 
 Vectors are dealt into shards of about one size by a hash of their id.  In a shard, greedy searches through the graph
 as it stands propose neighbours for each vector; pruning keeps a neighbour only if no nearer one that was kept is, by
-the factor alpha, nearer to it still, so that edges lead in diverse directions.  Every query searches every shard.
+the factor alpha, nearer to it still, so that edges lead in diverse directions.  Every query searches every shard; the
+cluster sets how many there are, so work grows with the vectors and, by the searches, with the logarithm of a shard.
+
+A crowd of vectors that nearly agree would fill a beam and shut other ways.  It is one node: the nearest of a sample
+of the shard leads it, and its members are looked at where the leader is met; a large crowd has a graph of its own,
+of its members' differences from the leader.
 """
 
 from __future__ import annotations
@@ -21,17 +26,24 @@ from .common import col, materialise
 
 @dataclass(frozen=True)
 class Settings:
-    """shard: vectors in a shard.  degree: edges of a node.  build_beam, search_beam: candidates that a search keeps.
-    entries: nodes where searches begin, beside the middle one."""
+    """shards: None for the cluster's cores.  least, most: vectors in a shard, if there are enough, and at most.
+    degree: edges of a node.  build_beam, search_beam: candidates that a search keeps.  entries: nodes where searches
+    begin, beside the middle one.  near: square of the distance, as a share of the leader's length squared, within which
+    vectors join its crowd; crowd: members that make one; scanned: members that are compared one by one."""
 
-    shard: int = 6000
+    shards: int | None = None
+    least: int = 5000
+    most: int = 500_000
     degree: int = 32
     build_beam: int = 64
-    search_beam: int = 128
+    search_beam: int = 160
     alpha: float = 1.2
     entries: int = 31
     batch: int = 256
     wide: int = 4
+    near: float = 0.1
+    crowd: int = 16
+    scanned: int = 4096
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, beam: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,16 +109,21 @@ def robust_prune(x: np.ndarray, own: np.ndarray, candidates: np.ndarray, degree:
 
 
 class Graph:
-    """The graph of one shard.  Equal vectors are one node with several ids."""
+    """The graph of one shard.  Equal vectors are one row with several ids; a node is a row, or a crowd's leader."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, s: Settings):
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
         self.s = s
-        self.vectors, first, node = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
-        by_node = np.argsort(node.ravel(), kind="stable")
-        self.ids = np.split(ids[by_node], np.cumsum(np.bincount(node.ravel(), minlength=len(first)))[:-1])
+        self.vectors, first, row = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
+        by_row = np.argsort(row.ravel(), kind="stable")
+        self.ids = np.split(ids[by_row], np.cumsum(np.bincount(row.ravel(), minlength=len(first)))[:-1])
         x = self.vectors.astype(np.float64)
+        top = np.abs(x).max() or 1.0
+        x /= top  # so that squares stay within the range of the search's numbers
+        self.crowds: dict[int, tuple[np.ndarray, Graph | None]] = {}  # by node
+        self.rows = self._crowds(x)
+        x = x[self.rows]
         squares = (x**2).sum(1)
         # one more component gives all vectors one length; queries have 0 there, so their inner products stay
         self.x = np.concatenate([x, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]], 1).astype(np.float32)
@@ -115,6 +132,37 @@ class Graph:
         self.entries = np.array([middle, *others[others != middle]])
         self.graph = self._build()
 
+    def _crowds(self, x: np.ndarray) -> np.ndarray:
+        """The rows that are nodes; fills self.crowds."""
+        n, s = len(x), self.s
+        lead = np.full(n, -1)
+        if n > s.scanned // 4:
+            # a crowd that could fill half a beam has a member in the sample, all but surely
+            sample = np.sort(np.random.default_rng(11).permutation(n)[: max(1024, 16 * n // s.search_beam)])
+            y, squares = x[sample].astype(np.float32), (x[sample] ** 2).sum(1)
+            for a in range(0, n, 4096):
+                part = x[a : a + 4096]
+                far = (part**2).sum(1)[:, None] + squares - 2 * (part.astype(np.float32) @ y.T)
+                fits = far <= s.near * squares
+                lead[a : a + 4096] = np.where(fits.any(1), sample[fits.argmax(1)], -1)
+        leaders, count = np.unique(lead[lead >= 0], return_counts=True)
+        leaders = set(leaders[count >= s.crowd].tolist())
+        members: dict[int, list[int]] = {}
+        for i in np.flatnonzero(lead >= 0).tolist():
+            if lead[i] in leaders:
+                members.setdefault(int(lead[i]), []).append(i)
+        inside = np.zeros(n, bool)
+        for own in members.values():
+            inside[own] = True
+        inside[list(members)] = False  # leaders are nodes, whatever crowd they fell to themselves
+        rows = np.flatnonzero(~inside)
+        node = dict(zip(rows.tolist(), range(len(rows))))
+        for leader, own in members.items():
+            own_rows = np.array([i for i in own if inside[i]], np.int64)
+            within = self.vectors[own_rows].astype(np.float64) - self.vectors[leader].astype(np.float64)
+            self.crowds[node[leader]] = own_rows, Graph(np.arange(len(own_rows)), within, s) if len(own_rows) > s.scanned else None
+        return rows
+
     def _build(self) -> np.ndarray:
         n, s, x = len(self.x), self.s, self.x
         rng = np.random.default_rng(n)
@@ -167,21 +215,40 @@ class Graph:
             graph = np.concatenate([graph, wide], 1)
         return graph
 
+    def candidates(self, q: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query the rows that a search meets: its beam's, and the members of the crowds in it."""
+        s = self.s
+        scaled = q / np.maximum(np.abs(q).max(1, keepdims=True), 1e-300)
+        padded = np.concatenate([scaled, np.zeros((len(q), 1))], 1).astype(np.float32)
+        nodes, _ = beam_search(self.x, self.graph, self.entries, padded, min(max(s.search_beam, 2 * k), len(self.x)), s.wide)
+        out = []
+        for i, found in enumerate(nodes):
+            found = found[found >= 0]
+            rows = [self.rows[found]]
+            for c in found.tolist() if self.crowds else ():
+                if c in self.crowds:
+                    own, graph = self.crowds[c]
+                    rows.append(own if graph is None else np.unique(np.concatenate([own[graph.ids[r]] for r in graph.candidates(q[i : i + 1], k)[0]])))
+            out.append(np.concatenate(rows))
+        return out
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[int], list[int], list[float]]:
         """(query, id, score) of the k nearest found for each query, itself left out; scores in double precision."""
-        n, s = len(self.x), self.s
         out: tuple[list[int], list[int], list[float]] = ([], [], [])
-        for a in range(0, len(queries), s.batch):
-            q = queries[a : a + s.batch]
-            padded = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
-            nodes, _ = beam_search(self.x, self.graph, self.entries, padded, min(max(s.search_beam, 2 * k), n), s.wide)
-            exact = (self.vectors[np.maximum(nodes, 0)].astype(np.float64) * q[:, None, :].astype(np.float64)).sum(2)
-            for i, own in enumerate(query_ids[a : a + s.batch].tolist()):
-                rows = []
-                for node, score in sorted(((m, v) for m, v in zip(nodes[i].tolist(), exact[i].tolist()) if m >= 0), key=lambda r: -r[1])[: k + 1]:
+        for a in range(0, len(queries), self.s.batch):
+            q = queries[a : a + self.s.batch].astype(np.float64)
+            for i, rows in enumerate(self.candidates(q, k)):
+                own = int(query_ids[a + i])
+                exact = (self.vectors[rows].astype(np.float64) * q[i]).sum(1)
+                best: list[tuple[float, int]] = []
+                last = np.inf
+                for r in np.argsort(-exact, kind="stable").tolist():
+                    if len(best) >= k and exact[r] < last:
+                        break  # all rows of the last score are in, so that the smallest ids among them are
+                    last = exact[r]
                     # of equal vectors the k + 1 smallest ids are as many as can be among the k nearest
-                    rows += [(-score, v) for v in self.ids[node][: k + 1].tolist() if v != own]
-                for score, v in sorted(rows)[:k]:
+                    best += [(-last, v) for v in self.ids[rows[r]][: k + 1].tolist() if v != own]
+                for score, v in sorted(best)[:k]:
                     out[0].append(own)
                     out[1].append(v)
                     out[2].append(-score)
@@ -222,14 +289,17 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, *, id_col: str = "vec_
 
     is_query: a condition on df.  Ties go to the smaller id; with fewer candidates, all of them.  Vectors that are
     null, empty, all zero or hold a null or non-finite component take no part, nor do rows with a null id; vectors of
-    different dimensions never meet.  Rows that repeat an id are candidates each, but not for queries of that id.
-    An empty table gives an empty table.
+    different dimensions never meet.  Rows that repeat an id are candidates each, but not for queries of that id; of the
+    vectors of a query's repeated id the smallest asks.  Floats are searched as they are, other numbers as doubles.
+    Scores beyond the range of doubles are infinite.  An empty table gives an empty table.
     """
     s = settings or Settings()
-    vector = col(vector_col).cast("array<float>")
+    kind = "float" if df.schema[vector_col].dataType.elementType.typeName() == "float" else "double"
+    vector = col(vector_col).cast(f"array<{kind}>")
     fit = vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vector, lambda v: v != 0)
     rows = materialise(df.where(F.coalesce(fit, F.lit(False)) & col(id_col).isNotNull()).select(col(id_col).cast("long").alias("id"), vector.alias("vector"), F.size(vector).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("query")))
-    dims = {r[0]: -(-r[1] // s.shard) for r in rows.groupBy("dim").count().collect()}
+    cores = s.shards or df.sparkSession.sparkContext.defaultParallelism
+    dims = {r[0]: max(min(-(-r[1] // s.least), cores), -(-r[1] // s.most)) for r in rows.groupBy("dim").count().collect()}
     if not dims:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     # shards are numbered through: those of each dimension follow one another
@@ -238,8 +308,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, *, id_col: str = "vec_
         pieces, first = F.when(F.col("dim") == dim, F.lit(n)).otherwise(pieces), F.when(F.col("dim") == dim, F.lit(at)).otherwise(first)
         at += n
     own = rows.select((first + F.pmod(F.xxhash64("id"), pieces)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "vector")
-    asked = rows.where("query").dropDuplicates(["id"]).select(F.explode(F.sequence(first, first + pieces - 1)).alias("shard"), F.lit(1).alias("kind"), "id", "vector")
-    dealt = own.unionByName(asked).repartitionByRange(at, "shard").sortWithinPartitions("shard", "kind", "id")
+    asking = rows.where("query").groupBy("id").agg(F.min(F.struct("vector", "dim")).alias("q")).select("id", "q.vector", "q.dim")
+    asked = asking.select(F.explode(F.sequence(first, first + pieces - 1)).alias("shard"), F.lit(1).alias("kind"), "id", "vector")
+    dealt = own.unionByName(asked).repartitionById(at, F.col("shard")).sortWithinPartitions("shard", "kind", "id")
     found = dealt.mapInArrow(_shards(k, s), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
