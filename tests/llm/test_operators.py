@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
+from datetime import date, timedelta
 
 import duckdb
 import numpy as np
@@ -261,6 +263,36 @@ def test_op6_numbers_beside_others(text, left):
     assert pseudonyms.pseudonymise_text("2024-01-05Today 4111 1111 1111 1112 12/26", f)[1] == []
 
 
+def test_op6_dates_and_phones_in_any_layout():
+    """Every date turns back and keeps its layout; equal values get equal pseudonyms whatever the layout."""
+    f = pseudonyms.Feistel(b"k")
+    digits = lambda x: "".join(c for c in x if c.isdigit())
+    day = date(2023, 12, 1)
+    for _ in range(800):
+        day += timedelta(1)
+        y, m, d = day.year, day.month, day.day
+        seen = set()
+        for text, names in ((f"{y}-{m:02}-{d:02}", "ymd"), (f"{y}/{m}/{d}", "ymd"), (f"{d:02}.{m:02}.{y}", "dmy"), (f"{d}/{m}/{y}", "dmy"), (f"{m:02}/{d:02}/{y}", "mdy"), (f"{m}/{d}/{y}", "mdy")):
+            if names == "mdy" and d <= 12:
+                continue  # read as day, month, year
+            new, kinds = pseudonyms.pseudonymise_text(text, f)
+            assert len(kinds) == 1 and [len(x) for x in re.split("[-./]", new)] == [len(x) for x in re.split("[-./]", text)]
+            assert pseudonyms.pseudonymise_text(new, f, back=True)[0] == text
+            seen.add(tuple(int(dict(zip(names, re.split("[-./]", new)))[n]) for n in "ymd"))
+        assert len(seen) == 1
+    for spelled in (("+49 30 1234567", "+49301234567", "+49 (30) 123-45-67"), ("+1 555 123 4567", "+1-555-123-4567", "+15551234567"), ("+380 44 123 4567", "+380441234567")):
+        new = [pseudonyms.pseudonymise_text(x, f)[0] for x in spelled]
+        assert len({digits(x) for x in new}) == 1 and digits(new[0]) != digits(spelled[0])
+        assert [pseudonyms.pseudonymise_text(x, f, back=True)[0] for x in new] == list(spelled)
+        assert [re.sub("[0-9]", "0", x) for x in new] == [re.sub("[0-9]", "0", x) for x in spelled]
+    assert pseudonyms.pseudonymise_text("+28 30 1234567 and +1 555 123", f)[1] == []
+
+
+def test_op6_links_documents(spark):
+    df = spark.createDataFrame([(1, "paid 4111 1111 1111 1111"), (2, "4111-1111-1111-1111"), (3, None), (3, ""), (4, "card 5555 5555 5555 4444")], "doc_id long, text string")
+    assert sorted(r.documents for r in pseudonyms.linked(df, b"k").collect()) == [1, 2]
+
+
 def test_op7_targets_and_limits(spark, docs):
     got = mixing.mix(docs, [5.0, 2.0, 1.0]).join(docs.select("doc_id", "source", "text"), "doc_id").collect()
     sizes = Counter()
@@ -294,6 +326,19 @@ def test_mix_draws_rows_of_repeated_and_null_ids(spark):
         assert abs(got["s0"] - 150) <= 1 and abs(got["s1"] - 50) <= 1
 
 
+def test_rates_a_rounding_above_whole(spark):
+    rows = [(s * 100 + k, " ".join(["w"] * (s + 1)), f"s{s}") for s in range(3) for k in range(50 + s * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = [50 * 1, 60 * 2, 70 * 3]
+    for weights in ([float(x) * 1.1 for x in sizes], [float(x) for x in sizes]):
+        got = mixing.mix(df, weights, landing="whole").collect()
+        assert {r.copies for r in got} == {1} and all(r.taken == r.size for r in got)
+    assert mixing.flight([1e-16, 0.5, 1 - 1e-16], [1.0, 2.0, 3.0], random.Random(1)) == [0.0, 0.5, 1.0]
+    assert mixing.land([0.5] * 40, [1.0] * 40).count(1.0) in (20, 19, 21)
+    assert mixing.land([0.5, 0.25], [100.0, 10.0]) == [0.0, 1.0] or mixing.land([0.5, 0.25], [100.0, 10.0]) == [1.0, 0.0]
+    assert mixing.land([0.5, 0.5], [100.0, 10.0], whole=False) == [0.45, 1.0] and mixing.land([0.05, 0.2], [10.0, 10.0], whole=False) == [0.25, 0.0]
+
+
 def test_flight_keeps_totals():
     r = random.Random(3)
     pi, size = [r.random() for _ in range(500)], [float(r.randint(0, 50)) for _ in range(500)]
@@ -342,6 +387,83 @@ def test_op9_toxicity():
     assert m.score("danel z0rb1sh kirel QUАXING") >= 0.7  # substitutes and a Cyrillic look-alike
 
 
+def test_samples_are_bounded_whatever_the_ids(spark, monkeypatch):
+    rows = [(None, f"some words {k} here", "en") for k in range(400)] + [(7, "les mots", "fr")] * 400 + [(k, "x" * 200_000, "de") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "train", lambda r, s: seen.append(Counter(x for _, x in r)))
+    language.fit_language(df, F.lit(True), settings=language.Settings(per_class=50))
+    assert seen == [{"en": 50, "fr": 50}]
+    monkeypatch.setattr(toxicity, "train", lambda r, s: seen.append(Counter(x for _, x in r)))
+    labels = spark.createDataFrame([(7, 1), (7, 1), (None, 0), *((k, 0) for k in range(3))], "doc_id long, toxic int")
+    toxicity.fit_toxicity(df, labels, F.lit(True), settings=toxicity.Settings(per_label=30))
+    assert seen[1] == {1: 30}
+    monkeypatch.undo()
+    nothing = df.where("doc_id is null").withColumn("text", F.repeat(F.lit("y"), 300_000))
+    assert language.fit_language(nothing, F.lit(True)) is None
+
+
+def test_ftrl_step_against_a_dense_one():
+    """Weights of a sparse training equal those of the same rule written out over all features."""
+    texts = [("the cat sat on the mat", "en"), ("die katze sass dort", "de"), ("the dog and the bird", "en"), ("der hund und ein vogel", "de")] * 3
+    s = language.Settings(epochs=2, held_back=10**9)
+    model = language.train(texts, s)
+    x = np.zeros((len(texts), language.BUCKETS + 1))
+    for i, (t, _) in enumerate(texts):
+        at, share = language.sparse(t)
+        x[i, at], x[i, -1] = share, 1
+    fit = np.arange(1, len(texts))  # the first row is held back
+    df = (x[fit, :-1] > 0).sum(0)
+    idf = np.log((1 + len(fit)) / (1 + df)) + 1
+    x[:, :-1] *= idf * language.SCALE
+    y = np.array([["de", "en"].index(lang) for _, lang in texts])
+    z, n = np.zeros((x.shape[1], 2)), np.zeros((x.shape[1], 2))
+    l1 = np.full((x.shape[1], 1), s.l1)
+    l1[-1] = 0
+
+    def weights():
+        return np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
+
+    order = np.random.default_rng(7)
+    for _ in range(s.epochs):
+        for i in fit[order.permutation(len(fit))]:
+            w = weights()
+            e = np.exp(x[i] @ w - (x[i] @ w).max())
+            g = x[i][:, None] * (e / e.sum() - np.eye(2)[y[i]])
+            z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / s.alpha * w
+            n += g * g
+    w = weights()
+    assert np.allclose(model.weights, w[:-1] * idf[:, None] * language.SCALE) and np.allclose(model.bias, w[-1])
+
+
+def test_op9_exceptions_and_a_plain_scan():
+    """A phrase of clean documents excuses its term; hits are those of a scan word by word."""
+    r = random.Random(5)
+    clean = [f"{a}{b}" for a in "bdfgk" for b in ("an", "el", "ir", "om", "ut")]
+    rows = []
+    for k in range(600):
+        w = [r.choice(clean) + r.choice(clean) for _ in range(30)]
+        if k % 3 == 0:
+            w[r.randint(0, 14)] = "zorbish"
+        elif k % 9 == 1:
+            w[5:7] = ["zorbish", "museum"]
+        rows.append((" ".join(w), int(k % 3 == 0)))
+    m = toxicity.train(rows, toxicity.Settings())
+    assert any("museum" in x for x in m.exceptions)
+    assert m.score("danel zorbish kirel") >= 0.7 > m.score("danel zorbish museum kirel")
+    m = toxicity.Model({"zor": 1.0, "bad\n": 2.0, "bad": 0.5}, {"zor lamp"})
+    for _ in range(400):
+        text = "".join(r.choice(["zor", "z0r", "bad", "B4D", " ", " ", "x", "lamp", "!", "."]) for _ in range(r.randint(0, 14)))
+        words = [(x.start(), x.end()) for x in re.finditer(r"[^\W_]+", text)]
+        folded = toxicity.fold(text)
+        excused = [(a, b + 5) for a, b in words if folded[a : b + 5] == "zor lamp" and (b + 5 == len(text) or not text[b + 5].isalnum())]
+        want = []
+        for a, b in words:
+            if not any(p <= a and b <= q for p, q in excused):
+                want += [t for t in ("zor", "bad") if folded[a:b].startswith(t)] + ["bad\n"] * (folded[a:b] == "bad")
+        assert sorted(m.hits(text)) == sorted(want), text
+
+
 def test_op9_held_out(spark):
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     held = [r for r in queries.op9_toxicity(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in toxic]

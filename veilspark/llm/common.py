@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; only where none is set (tests on one machine), make one."""
+    """Use the folder of spark.checkpoint.dir, or the one that the session has been given; without either, an error: a
+    folder of one machine would not do on a cluster."""
     if spark.sparkContext.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoints-"))
+        if configured is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(configured)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -39,6 +40,26 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Hashes are compared with a share of this many values.
+SPOTS = 1 << 62
+
+
+def bounded_sample(df: DataFrame, label: Column, name: Column, counts: dict, most: int) -> DataFrame:
+    """Of each label at most `most` rows of df, those whose hash of `name` is smallest; adds label_ and spot_.
+
+    counts: the rows of each label.  Names may repeat or be null; however many rows share a hash, no more than `most`
+    come through.  A first cut at twice the expected share keeps what is sorted small; its chance to leave fewer than
+    `most` rows although there are more is negligible for a few hundred and above.
+    """
+    lab, spot, place = "label_", "spot_", "place_"
+    near = F.lit(False)
+    for x, n in counts.items():
+        near = near | ((F.col(lab) == F.lit(x)) & (F.col(spot) < F.lit(min(SPOTS, SPOTS * 2 * most // n))))
+    marked = df.withColumn(lab, label).withColumn(spot, F.xxhash64(name).bitwiseAND(F.lit(SPOTS - 1))).where(near)
+    ranked = marked.withColumn(place, F.row_number().over(Window.partitionBy(lab).orderBy(spot, name)))
+    return ranked.where(F.col(place) <= most).drop(place)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

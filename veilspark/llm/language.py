@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col
+from .common import bounded_sample, col
 from .ngrams import BUCKETS, indices, pieces
 
 UNDETERMINED = "und"
@@ -22,9 +22,11 @@ UNDETERMINED = "und"
 
 @dataclass
 class Settings:
-    """per_class bounds the labelled sample: about so many documents of each language train the model."""
+    """per_class, longest: bounds of the labelled sample: so many documents of each language at most train the model, of
+    so many characters at most each, so that no more than per_class * languages * longest characters are collected."""
 
     per_class: int = 600
+    longest: int = 100_000
     epochs: int = 4
     alpha: float = 0.6
     beta: float = 1.0
@@ -128,21 +130,19 @@ SCALE = 30.0
 def fit_language(df: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings | None = None) -> Model | None:
     """Learn from the rows where `learn` holds and text and language are known; None if there are none.
 
-    The sample is bounded: of each language, rows whose id's hash lies below per_class / (rows of the language).
-    Languages are a small set by nature; their counts come to the driver.
+    The sample is bounded by rows (see Settings): those with the smallest hash of id and text, so null and repeated ids
+    are samples like others, and rows that repeat both are cut off at the bound.  Texts beyond the settings' length are
+    not learned from; all are predicted.  Languages are a small set by nature; their counts come to the driver.  An empty
+    table gives None.
     """
     s = settings or Settings()
-    known = df.where(learn & col(lang_col).isNotNull() & col(text_col).isNotNull() & (col(lang_col) != UNDETERMINED))
-    counts = {r[0]: r[1] for r in known.groupBy(col(lang_col)).count().collect()}
+    known = df.where(learn & col(lang_col).isNotNull() & (F.length(col(text_col)) <= s.longest) & (col(lang_col) != UNDETERMINED)).select(col(lang_col).alias("lang"), col(text_col).alias("text"), F.concat_ws(":", col(id_col).cast("string"), col(text_col)).alias("name"))
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
-    spot = F.pmod(F.xxhash64(col(id_col), F.lit("language")), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for lang, count in counts.items():
-        chosen = chosen | ((col(lang_col) == lang) & (spot < min(1_000_000, 1_000_000 * s.per_class // count + 1)))
-    rows = known.where(chosen).select(col(text_col), col(lang_col), F.xxhash64(col(id_col), col(text_col)).alias("spot")).collect()
+    rows = bounded_sample(known, F.col("lang"), F.col("name"), counts, s.per_class).select("text", "lang", "spot_").collect()
     rows.sort(key=lambda r: (r[2], r[0], r[1]))
-    return train([(r[0], r[1]) for r in rows], s)
+    return train([(r[0], r[1]) for r in rows], s) if rows else None
 
 
 def identify(df: DataFrame, model: Model | None, *, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

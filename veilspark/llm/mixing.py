@@ -25,7 +25,7 @@ NEAR = 1e-9
 
 def flight(pi: list[float], size: list[float], rng: random.Random) -> list[float]:
     """Probabilities after the flight; at most two stay open, and sum(pi) and sum(pi * size) are kept."""
-    pi = list(pi)
+    pi = [0.0 if p <= NEAR else 1.0 if p >= 1 - NEAR else p for p in pi]
     waiting = [i for i in range(len(pi) - 1, -1, -1) if NEAR < pi[i] < 1 - NEAR]
     active: list[int] = []
     while True:
@@ -67,11 +67,25 @@ def _fly(seed: int, level: int):
     return run
 
 
-def land(pi: list[float], size: list[float]) -> list[float]:
-    """Of two open documents or fewer, the choice whose words are nearest to what is expected; then the smaller one."""
+def land(pi: list[float], size: list[float], whole: bool = True) -> list[float]:
+    """The open documents of a source (two at most after a flight), decided so that their words come nearest to what is
+    expected of them.
+
+    whole: each is taken or not; of choices as near, the one of fewer documents.  Otherwise the smaller ones are taken
+    whole while they fit and the next one in part, so that one document at most is cut.  More than two are a caller's:
+    taken whole, they are settled by falling size, each if that brings the words nearer.
+    """
     want = sum(p * s for p, s in zip(pi, size))
-    choices = [[m >> k & 1 for k in range(len(pi))] for m in range(1 << len(pi))]
-    return [float(x) for x in min(choices, key=lambda c: (abs(sum(x * s for x, s in zip(c, size)) - want), sum(c), c))]
+    rising = sorted(range(len(pi)), key=lambda k: (size[k], k))
+    out = [0.0] * len(pi)
+    if whole and len(pi) <= 2:
+        choices = [[m >> k & 1 for k in range(len(pi))] for m in range(1 << len(pi))]
+        return [float(x) for x in min(choices, key=lambda c: (abs(sum(x * s for x, s in zip(c, size)) - want), sum(c), c))]
+    for k in reversed(rising) if whole else rising:
+        if size[k] > 0:
+            out[k] = float(2 * want > size[k]) if whole else min(1.0, max(want, 0.0) / size[k])
+            want -= out[k] * size[k]
+    return out
 
 
 def source_targets(sizes: DataFrame, weights: list[float], most: float) -> DataFrame:
@@ -98,8 +112,8 @@ def mix(df: DataFrame, weights: list[float], *, most: float = 3.0, landing: str
     """A row for each row of df: doc_id, size (words), source_size, target (of its source), copies (times that the whole
     document is taken, long) and taken (words taken, repeats counted, long).
 
-    landing: the last two open documents of a source either give the expected share of their words ("words": copies
-    counts whole copies, taken has the rest too) or are taken whole or not ("whole").  Null text: no words; such
+    landing: the last two open documents of a source give the words that are expected of them, one of them in part
+    ("words": copies counts whole copies, taken has the rest too), or are taken whole or not ("whole").  Null text: no words; such
     documents are drawn like others and add nothing.  Null sources are a source of their own, the last one.  Repeated
     rows and ids are documents of their own.  Ties are settled by a hash of the id, then id and size, so reruns agree.
     An empty table gives an empty table.
@@ -113,7 +127,7 @@ def mix(df: DataFrame, weights: list[float], *, most: float = 3.0, landing: str
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     keyed = docs.withColumnRenamed("source", "own_").join(sources, F.col("own_").eqNullSafe(F.col("source")))
     whole = F.floor(F.col("rate_") + NEAR)
-    keyed = keyed.withColumn("rate_", rate).select("doc_id", "row", "size", "rank", whole.cast("long").alias("whole"), F.greatest(F.col("rate_") - whole, F.lit(0.0)).alias("pi"))
+    keyed = keyed.withColumn("rate_", rate).select("doc_id", "row", "size", "rank", whole.cast("long").alias("whole"), F.when(F.col("rate_") - whole > NEAR, F.col("rate_") - whole).otherwise(F.lit(0.0)).alias("pi"))
     schema = "doc_id long, row long, size long, rank int, whole long, pi double"
     largest = sources.agg(F.max("n")).first()[0] or 0
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("row", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
@@ -133,10 +147,10 @@ def mix(df: DataFrame, weights: list[float], *, most: float = 3.0, landing: str
 
     def touch(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "size", "row"], kind="stable")
-        pdf["pi"] = land(pdf["pi"].tolist(), pdf["size"].tolist())
+        pdf["pi"] = land(pdf["pi"].tolist(), pdf["size"].tolist(), landing == "whole")
         return pdf
 
-    done.append(state.groupBy("rank").applyInPandas(touch, schema) if landing == "whole" else state)
+    done.append(state.groupBy("rank").applyInPandas(touch, schema))
     decided = done[0]
     for part in done[1:]:
         decided = decided.unionByName(part)

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from datetime import date, timedelta
+from datetime import date
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -102,14 +103,25 @@ def _card(f: Feistel, s: str, back: bool) -> str | None:
     return _refill(s, d)
 
 
+# Calling codes of two digits, and beginnings of those of three; 1 and 7 are codes by themselves.
+CODES_2 = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+CODES_3 = "21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split()
+
+
+def calling_code(digits: str) -> str | None:
+    """The country's part of an international number, whatever its layout; None if there is no such country."""
+    if digits[0] in "17":
+        return digits[0]
+    return digits[:2] if digits[:2] in CODES_2 else digits[:3] if digits[:2] in CODES_3 else None
+
+
 def _phone(f: Feistel, s: str, back: bool) -> str | None:
-    code = re.match(r"\+[0-9]{1,3}(?![0-9])", s)
-    d = _digits(s[code.end() :]) if code else _digits(s)[1:]
-    if not 7 <= len(d) <= 12:
+    d = _digits(s)
+    code = calling_code(d)
+    if code is None or len(d) > 15 or not 7 <= len(d) - len(code) <= 12:
         return None
-    fixed = s[: code.end()] if code else s[:2]
-    x = str(f.permute(int(d), 10 ** len(d), f"phone{_digits(fixed)}", back)).zfill(len(d))
-    return fixed + _refill(s[len(fixed) :], x)
+    n = len(d) - len(code)
+    return _refill(s, code + str(f.permute(int(d[len(code) :]), 10**n, f"phone{code}", back)).zfill(n))
 
 
 def _address(f: Feistel, s: str, back: bool) -> str | None:
@@ -158,12 +170,32 @@ def _hex_secret(f: Feistel, s: str, back: bool) -> str | None:
     return out.upper() if up else out
 
 
+def _date_class(day: date) -> tuple[int, int]:
+    """Dates that any layout writes with the same digits, and that can be taken for another order alike."""
+    return (day.day > 9) + (day.day > 12), int(day.month > 9)
+
+
+@lru_cache(1)
+def _dates() -> tuple[dict[tuple[int, int], list[int]], dict[int, int]]:
+    """The days of each class, and each day's place in its class."""
+    classes: dict[tuple[int, int], list[int]] = {}
+    place: dict[int, int] = {}
+    for x in range(FIRST.toordinal(), LAST.toordinal() + 1):
+        own = classes.setdefault(_date_class(date.fromordinal(x)), [])
+        place[x] = len(own)
+        own.append(x)
+    return classes, place
+
+
 def _date(order: str) -> Callable[[Feistel, str, bool], str | None]:
+    """order ymd, or dmy, which is read as mdy where that alone is a date.
+
+    Days are permuted within their class, so that a pseudonym is written and read in the order of what it stands for.
+    """
+
     def run(f: Feistel, s: str, back: bool) -> str | None:
         parts = re.split(r"([-./])", s)
-        for names in (order, order[::-1] if order == "ymd" else "mdy"):
-            if order == "ymd" and names != "ymd":
-                return None
+        for names in ("ymd",) if order == "ymd" else ("dmy", "mdy"):
             at = {n: int(p) for n, p in zip(names, parts[::2])}
             try:
                 day = date(at["y"], at["m"], at["d"])
@@ -171,9 +203,11 @@ def _date(order: str) -> Callable[[Feistel, str, bool], str | None]:
                 continue
             if not FIRST <= day <= LAST:
                 return None
-            day = FIRST + timedelta(f.permute((day - FIRST).days, (LAST - FIRST).days + 1, "date", back))
-            new = {"y": f"{day.year:04d}", "m": f"{day.month:02d}", "d": f"{day.day:02d}"}
-            return parts[1].join(new[n] for n in names)
+            classes, place = _dates()
+            own = classes[_date_class(day)]
+            day = date.fromordinal(own[f.permute(place[day.toordinal()], len(own), f"date{_date_class(day)}", back)])
+            new = {"y": day.year, "m": day.month, "d": day.day}
+            return parts[1].join(str(new[n]).zfill(len(p)) for n, p in zip(names, parts[::2]))
         return None
 
     return run
@@ -299,8 +333,8 @@ def pseudonymise_text(text: str, f: Feistel, back: bool = False) -> tuple[str, l
 def pseudonymise(df: DataFrame, key: bytes, *, text_col: str = "text", count_col: str = "n_replaced", kinds_col: str = "kinds", back: bool = False) -> DataFrame:
     """df with its text pseudonymised in place, how many values were replaced, and their kinds (sorted, comma-joined).
 
-    Cards must pass Luhn's check, IBANs their remainder, SSNs and addresses their ranges, dates the calendar; what does
-    not pass is left as it is.  back=True turns the pseudonyms of the same key back.  Null texts stay null with none
+    Cards must pass Luhn's check, IBANs their remainder, SSNs and addresses their ranges, dates the calendar, phones a
+    calling code and the length of a number; what does not pass is left as it is.  back=True turns the pseudonyms of the same key back.  Null texts stay null with none
     replaced; empty texts stay empty.  Every row is kept; an empty table stays empty; names that df has are refused.
     """
     clash = {c.lower() for c in df.columns} & {count_col.lower(), kinds_col.lower()}
@@ -321,12 +355,17 @@ def pseudonymise(df: DataFrame, key: bytes, *, text_col: str = "text", count_col
 
 
 def linked(df: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """How many documents each pseudonym links: (kind, pseudonym, documents)."""
+    """How many documents each pseudonym links: (kind, pseudonym, documents).
+
+    Cards, phones and IBANs are compared without spaces and signs, so that layouts link; other kinds as they are written.
+    Null texts have none; rows that repeat an id are one document, null ids together too.  No rows for an empty table.
+    """
+    bare = lambda k, x: "".join(c for c in x if c.isalnum()) if k in ("card", "phone", "iban") else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key)
         for batch in batches:
-            rows = [(i, k, new) for i, t in zip(*(c.to_pylist() for c in batch.columns)) if t for _, _, k, new in replacements(t, f)]
+            rows = [(i, k, bare(k, new)) for i, t in zip(*(c.to_pylist() for c in batch.columns)) if t for _, _, k, new in replacements(t, f)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["id", "kind", "pseudonym"])
 
     found = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, kind string, pseudonym string")

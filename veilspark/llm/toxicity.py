@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col
+from .common import bounded_sample, col
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("абвекмнорстухіјѕԁһԛԝӏαβεικνορτυχѵɡɩʟ", "abbekmhopctyxijsdhqwlabeikvoptuxvgil"))
@@ -65,9 +65,11 @@ def words_of(text: str) -> list[str]:
 
 @dataclass
 class Settings:
-    """per_label bounds the labelled sample: about so many documents of each label are learned from."""
+    """per_label, longest: bounds of the labelled sample: so many documents of each label at most are learned from, of so
+    many characters at most each, so that no more than 2 * per_label * longest characters are collected."""
 
     per_label: int = 2500
+    longest: int = 100_000
     least_documents: int = 6
     certainty: float = 30.0  # least G statistic of a term
     least_odds: float = 1.5
@@ -214,16 +216,19 @@ def train(rows: list[tuple[str, int]], s: Settings) -> Model:
 def fit_toxicity(df: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings | None = None) -> Model:
     """Learn from the rows where `learn` holds and text and label are known.
 
-    The sample is bounded: about 1.5 * per_label ids of each label, by a hash of the id, so its ids are broadcast.
+    The sample is bounded by rows (see Settings).  First come labels: of each, 1.5 * per_label ids of the smallest hash,
+    which are broadcast; ids that repeat with one label count once.  Then documents: per_label rows of each label, again
+    by hash, so that ids which repeat in the documents don't widen the sample.  Null ids match nothing.  Texts beyond the
+    settings' length are not learned from; all are scored.  Without documents of both labels no term is learned.
     """
     s = settings or Settings()
-    known = labels.where(col(label_col).isin(0, 1)).select(col(id_col).alias("id_"), col(label_col).cast("int").alias("y_")).distinct()
+    known = labels.where(col(label_col).isin(0, 1) & col(id_col).isNotNull()).select(col(id_col).alias("id_"), col(label_col).cast("int").alias("y_")).distinct()
     counts = {r[0]: r[1] for r in known.groupBy("y_").count().collect()}
-    spot = F.pmod(F.xxhash64("id_", F.lit("toxicity")), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for y, count in counts.items():
-        chosen = chosen | ((F.col("y_") == y) & (spot < min(1_000_000, 1_500_000 * s.per_label // count + 1)))
-    rows = df.where(learn & col(text_col).isNotNull()).join(F.broadcast(known.where(chosen)), col(id_col) == F.col("id_")).select(col(text_col), "y_", F.xxhash64("id_", col(text_col))).collect()
+    chosen = bounded_sample(known, F.col("y_"), F.col("id_").cast("string"), counts, s.per_label * 3 // 2).select("id_", "y_")
+    texts = df.where(learn & (F.length(col(text_col)) <= s.longest)).select(col(id_col).alias("own_"), col(text_col).alias("text_"))
+    both = texts.join(F.broadcast(chosen), F.col("own_") == F.col("id_"))
+    name = F.concat_ws(":", F.col("id_").cast("string"), F.col("text_"))
+    rows = bounded_sample(both, F.col("y_"), name, dict.fromkeys(counts, 1), s.per_label).select("text_", "y_", "spot_").collect()
     rows.sort(key=lambda r: (r[2], r[0], r[1]))
     return train([(r[0], r[1]) for r in rows], s)
 
