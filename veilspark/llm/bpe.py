@@ -175,9 +175,18 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
     key, at = fresh(df, "row_", "at_")
     # the keys are written down before they are used: a task that runs again must not deal out others
     long = materialise(df.where(length > chunk + overlap).withColumn(key, F.monotonically_increasing_id()))
-    last = F.floor((F.length(col(text_col)) - overlap - 1) / chunk)
-    pieces = long.select(key, col(text_col).alias("text_"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias(at))
-    pieces = pieces.select(key, at, F.substring(F.col("text_"), (F.col(at) * chunk + 1).cast("int"), F.lit(chunk + overlap)).alias("piece"))
+    pieces_ddl = f"`{key}` long, `{at}` long, piece string"
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text once through, piece by piece, so the work grows with its length."""
+        for batch in batches:
+            for name, text in zip(batch.column(key).to_pylist(), batch.column("text_").to_pylist()):
+                starts, stops = cut(len(text), chunk, overlap)
+                for a, b in _portions([chunk] * len(starts), SENT):
+                    own = [text[x:y] for x, y in zip(starts[a:b], stops[a:b])]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * (b - a), pa.int64()), pa.array(range(a, b), pa.int64()), pa.array(own, pa.string())], names=[key, at, "piece"])
+
+    pieces = long.select(key, col(text_col).alias("text_")).mapInArrow(parts, pieces_ddl)
 
     def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -196,7 +205,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
         ids = c.encode_pieces(text[a:b] for a, b in zip([0, *true], true))
         return pd.DataFrame({key: [pdf[key].iloc[0]], ids_col: [c.verify(ids, text) if verified else ids]})
 
-    found = pieces.repartition(F.col(key), F.col(at)).mapInArrow(boundaries, f"`{key}` long, `{at}` long, piece string, ends array<int>")
+    found = pieces.repartition(F.col(key), F.col(at)).mapInArrow(boundaries, f"{pieces_ddl}, ends array<int>")
     stitched = found.groupBy(key).applyInPandas(join_chunks, f"`{key}` long, `{ids_col}` array<int>")
     return whole.unionByName(long.join(stitched, key).drop(key))
 

@@ -20,7 +20,7 @@ def _star(links: DataFrame, both: bool) -> DataFrame:
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """links: (a, b) of one orderable type.  Returns (node, root): the smallest node that each linked node reaches.
+    """links: (a, b) of one orderable type (longs are aggregated by hash, strings by sorting).  Returns (node, root): the smallest node that each linked node reaches.
 
     Nodes without a link to another are not returned.  The links stay distributed; each round is written to the
     checkpoint folder, and a count and a hash of the links tell when nothing changes any more.

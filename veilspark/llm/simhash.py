@@ -148,45 +148,57 @@ def hex_name(words: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.lower(F.lpad(F.hex(w), 16, "0"))), "")
 
 
+def numbered(names: DataFrame) -> DataFrame:
+    """names, written down, with a long `label` each: what links and components work with."""
+    return materialise(names.withColumn("label", F.monotonically_increasing_id()))
+
+
 def near_links(names: DataFrame, radius: int, lanes: int, *, by: Column | None = None, reach: int | None = None) -> DataFrame:
-    """names: distinct (name, words).  Returns links (a, b) between names that connect what all close pairs connect.
+    """names: distinct (label, words).  Returns links (a, b) between labels that connect what all close pairs connect.
 
     by: an int of few values; names whose values differ by more than reach need not meet.  By default the bits that
-    are 1 and the radius.  If names are not the fingerprint's hex, links are between the names all the same.
+    are 1 and the radius.  Neighbouring values share a block until it is full; a value of many names has several.
     """
     bits = F.aggregate("words", F.lit(0), lambda acc, w: acc + F.bit_count(w))
     reach = radius if reach is None else reach
-    counted = names.select("name", "words", (bits if by is None else by).cast("int").alias("p"))
+    counted = names.select("label", "words", (bits if by is None else by).cast("int").alias("p"))
     sizes = {r[0]: r[1] for r in counted.groupBy("p").count().collect()}  # 64 * lanes + 1 rows at most, or by's values
-    first, pieces, at = {}, {}, 0
-    for p in sorted(sizes):
-        first[p], pieces[p] = at, -(-sizes[p] // BLOCK)
-        at += pieces[p]
     if not sizes:
-        return names.select(F.col("name").alias("a"), F.col("name").alias("b")).limit(0)
-    # of each count: its first block and how many, the first block that it may meet and the last
-    rows = [(p, first[p], pieces[p], min(first[q] for q in sizes if abs(p - q) <= reach), max(first[q] + pieces[q] - 1 for q in sizes if abs(p - q) <= reach)) for p in sizes]
-    layout = names.sparkSession.createDataFrame(rows, "p int, first long, pieces long, lo long, hi long")
-    dealt = counted.join(F.broadcast(layout), "p").withColumn("block", F.col("first") + F.pmod(F.xxhash64("name"), F.col("pieces")))
-    named = by is not None
-    held = F.collect_list(F.struct("name", "words"))
-    lists = [F.flatten(held["words"]).alias("flat"), held["name"].alias("names")] if named else [F.flatten(F.collect_list("words")).alias("flat"), F.lit(None).cast("array<string>").alias("names")]
-    blocks = dealt.groupBy("block").agg(*lists, F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    as_left = blocks.select(F.col("block").alias("i"), F.explode(F.sequence("block", "hi")).alias("j"), F.lit(0).alias("side"), "flat", "names")
-    as_right = blocks.select(F.explode(F.sequence("lo", "block")).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "flat", "names").where("i < j")
+        return names.select(F.col("label").alias("a"), F.col("label").alias("b")).limit(0)
+    first, pieces, held = {}, {}, {}  # of each value its first block and how many; of each block its values
+    at, room = -1, 0
+    for p in sorted(sizes):
+        if sizes[p] > room:
+            at += 1
+            pieces[p] = -(-sizes[p] // BLOCK)
+            room = 0 if pieces[p] > 1 else BLOCK - sizes[p]
+        else:
+            pieces[p] = 1
+            room -= sizes[p]
+        first[p] = at
+        for k in range(pieces[p]):
+            held.setdefault(at + k, []).append(p)
+        at += pieces[p] - 1
+    lo = {k: min(first[q] for q in sizes if any(abs(p - q) <= reach for p in ps)) for k, ps in held.items()}
+    hi = {k: max(first[q] + pieces[q] - 1 for q in sizes if any(abs(p - q) <= reach for p in ps)) for k, ps in held.items()}
+    spark = names.sparkSession
+    layout = spark.createDataFrame([(p, first[p], pieces[p]) for p in sizes], "p int, first long, pieces long")
+    spans = spark.createDataFrame([(k, lo[k], hi[k]) for k in held], "block long, lo long, hi long")
+    dealt = counted.join(F.broadcast(layout), "p").withColumn("block", F.col("first") + F.pmod(F.xxhash64("label"), F.col("pieces")))
+    list_ = F.collect_list(F.struct("label", "words"))
+    blocks = dealt.groupBy("block").agg(F.flatten(list_["words"]).alias("flat"), list_["label"].alias("labels")).join(F.broadcast(spans), "block")
+    as_left = blocks.select(F.col("block").alias("i"), F.explode(F.sequence("block", "hi")).alias("j"), F.lit(0).alias("side"), "flat", "labels")
+    as_right = blocks.select(F.explode(F.sequence("lo", "block")).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "flat", "labels").where("i < j")
 
     def meet(table: pa.Table) -> pa.Table:
-        sides = {s: np.asarray(f.values, np.int64).view(np.uint64).reshape(-1, lanes) for s, f in zip(table["side"].to_pylist(), table["flat"])}
-        left, right = sides[0], sides.get(1, sides[0])
-        found = spanning_links(left, right, radius, 1 not in sides)
-        if named:
-            of = dict(zip(table["side"].to_pylist(), table["names"]))
-            one, two = of[0].values, of.get(1, of[0]).values
-            return pa.table({"a": one.take(pa.array([i for i, _ in found], pa.int64())), "b": two.take(pa.array([j for _, j in found], pa.int64()))})
-        text = lambda w: "".join(f"{int(x):016x}" for x in w)
-        return pa.table({"a": pa.array([text(left[i]) for i, _ in found], pa.string()), "b": pa.array([text(right[j]) for _, j in found], pa.string())})
+        sides = table["side"].to_pylist()
+        words = {s: np.asarray(f.values, np.int64).view(np.uint64).reshape(-1, lanes) for s, f in zip(sides, table["flat"])}
+        labels = {s: np.asarray(f.values, np.int64) for s, f in zip(sides, table["labels"])}
+        other = 1 if 1 in words else 0
+        found = np.array(spanning_links(words[0], words[other], radius, other == 0), np.int64).reshape(-1, 2)
+        return pa.table({"a": labels[0][found[:, 0]], "b": labels[other][found[:, 1]]})
 
-    return as_left.unionByName(as_right).groupBy("i", "j").applyInArrow(meet, "a string, b string")
+    return as_left.unionByName(as_right).groupBy("i", "j").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 48, lanes: int = 4) -> DataFrame:
@@ -203,11 +215,11 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     base = df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text_"))
     marked = with_fingerprints(base, text_col="text_", out="words", words=words, lanes=lanes)
     docs = materialise(marked.select("doc_id", hex_name(F.col("words")).alias("fingerprint"), "words"))
-    names = materialise(docs.groupBy(F.col("fingerprint").alias("name")).agg(F.min("doc_id").alias("least"), F.first("words").alias("words")))
-    found = components(near_links(names.select("name", "words"), radius, lanes))
-    rooted = names.join(found, names["name"] == found["node"], "left").select("name", "least", F.coalesce("root", "name").alias("root"))
+    names = numbered(docs.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")))
+    found = components(near_links(names.select("label", "words"), radius, lanes))
+    rooted = names.join(found, names["label"] == found["node"], "left").select("fingerprint", "least", F.coalesce("root", "label").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    verdict = rooted.join(of_root, "root").select(F.col("name").alias("fingerprint"), "component_id")
+    verdict = rooted.join(of_root, "root").select("fingerprint", "component_id")
     return docs.select("doc_id", "fingerprint").join(verdict, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
@@ -267,16 +279,16 @@ def verified_roots(left: list[np.ndarray], right: list[np.ndarray] | None, left_
 
 
 def _verified_links(df: DataFrame, members: DataFrame, words: int, radius: int, lanes: int, least: float) -> DataFrame:
-    """members: (row, name, words, n, root), root the candidate group; df: (row, text_).  Links (a, b) of names that
+    """members: (row, label, words, n, root), root the candidate group; df: (row, text_).  Links (a, b) of labels that
     connect what the verified candidates of each group connect."""
     weight = members.groupBy("root").agg(F.ceil(F.sum("n") / PIECE).cast("long").alias("pieces"))
-    placed = members.join(weight, "root").withColumn("piece", F.pmod(F.xxhash64("name"), F.col("pieces")))
-    texts = df.join(placed.select("row", "name", "words", "root", "piece", "pieces"), "row").select("root", "piece", "pieces", "name", "words", "text_")
+    placed = members.join(weight, "root").withColumn("piece", F.pmod(F.xxhash64("label"), F.col("pieces")))
+    texts = df.join(placed.select("row", "label", "words", "root", "piece", "pieces"), "row").select("root", "piece", "pieces", "label", "words", "text_")
     spots = F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda k: F.struct(F.least("piece", k).alias("i"), F.greatest("piece", k).alias("j"), (k < F.col("piece")).cast("int").alias("side")))
-    dealt = texts.withColumn("at", F.explode(spots)).select("root", "at.i", "at.j", "at.side", "name", "words", "text_")
-    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "name")
+    dealt = texts.withColumn("at", F.explode(spots)).select("root", "at.i", "at.j", "at.side", "label", "words", "text_")
+    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "label")
 
-    def settle(sides: list[dict]) -> tuple[list[str], list[str]]:
+    def settle(sides: list[dict]) -> tuple[list[int], list[int]]:
         names, sets, bits = zip(*(([*s], [x for x, _ in s.values()], np.array([w for _, w in s.values()], np.int64).view(np.uint64).reshape(-1, lanes)) for s in sides))
         both = len(sides[1]) > 0
         label = verified_roots(sets[0], sets[1] if both else None, bits[0], bits[1] if both else None, radius, least)
@@ -288,21 +300,21 @@ def _verified_links(df: DataFrame, members: DataFrame, words: int, radius: int,
         at, sides, a, b = None, [{}, {}], [], []
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j")))
-            for k, (key, side, name) in enumerate(zip(keys, batch.column("side").to_pylist(), batch.column("name").to_pylist())):
+            for k, (key, side, label) in enumerate(zip(keys, batch.column("side").to_pylist(), batch.column("label").to_pylist())):
                 if key != at:
                     if at is not None and (at[1] == at[2] or sides[1]):
                         for out, more in zip((a, b), settle(sides)):
                             out += more
                     at, sides = key, [{}, {}]
-                if name not in sides[side]:  # rows may repeat
-                    sides[side][name] = np.unique(shingle_hashes(batch.column("text_")[k].as_py(), words)), batch.column("words")[k].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+                if label not in sides[side]:  # rows may repeat
+                    sides[side][label] = np.unique(shingle_hashes(batch.column("text_")[k].as_py(), words)), batch.column("words")[k].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
             a, b = [], []
         if at is not None and (at[1] == at[2] or sides[1]):
             a, b = settle(sides)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a string, b string")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 76, lanes: int = 4) -> DataFrame:
@@ -319,13 +331,13 @@ def similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wo
     base = df.select(col(id_col).cast("long").alias("doc_id"), _row_name(id_col, text_col).alias("row"), col(text_col).alias("text_"))
     docs = materialise(_with_sets(base, words, lanes))
     place = F.struct(F.col("doc_id").isNull().alias("null_"), "doc_id", "row")
-    names = materialise(docs.groupBy("name").agg(F.min(place).alias("least"), F.first("words").alias("words"), F.first("n").alias("n")))
+    names = numbered(docs.groupBy("name").agg(F.min(place).alias("least"), F.first("words").alias("words"), F.first("n").alias("n")))
     large = names.where(F.col("n") >= int(np.ceil(least / max(1 - least, 1e-9) - 1e-6)))  # n of n + 1 is the most that unequal sets share
     like = F.floor(F.log(F.col("n")) / F.lit(-float(np.log(least)) * (1 + 1e-9)))
-    found = components(near_links(large.select("name", "words", "n"), radius, lanes, by=like, reach=1))
-    members = materialise(large.join(found, large["name"] == found["node"]).select(F.col("least.row").alias("row"), "name", "words", "n", "root"))
+    found = components(near_links(large.select("label", "words", "n"), radius, lanes, by=like, reach=1))
+    members = materialise(large.join(found, large["label"] == found["node"]).select(F.col("least.row").alias("row"), "label", "words", "n", "root"))
     true = components(_verified_links(base.select("row", "text_"), members, words, radius, lanes, least))
-    rooted = names.join(true, names["name"] == true["node"], "left").select("name", "least", F.coalesce("root", "name").alias("root"))
+    rooted = names.join(true, names["label"] == true["node"], "left").select("name", "least", F.coalesce("root", "label").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("first"))
     verdict = rooted.join(of_root, "root").select("name", F.col("first.row").alias("first_row"), F.col("first.doc_id").alias("component_id"))
     return docs.select("doc_id", "row", "name").join(verdict, "name").select("doc_id", "row", "first_row", "component_id")
