@@ -130,17 +130,46 @@ def brute_repeats(texts, length):
         yield len(x), int(m[: len(x)].sum()), int((np.diff(np.concatenate([[0], m])) == 1).sum()), hashlib.sha256(bytes(c for c, k in zip(x, m) if not k)).hexdigest()
 
 
-@pytest.mark.parametrize("many", [repeats.MANY, 2])
-def test_op3_removes_repeats(spark, many):
+@pytest.mark.parametrize("piece", [repeats.PIECE, 900])
+def test_op3_removes_repeats(spark, piece):
     r = random.Random(2)
     base = ["".join(r.choice("abcde é") for _ in range(r.randint(0, 900))) for _ in range(12)]
     texts = base + [base[k][r.randint(0, 200) :] + base[k - 1][:300] for k in range(12)] + ["ab" * 700, "x" * 450, None, "", base[0], base[0]]
     ids = [*range(len(texts) - 1), len(texts) - 2]  # the last two rows are the same
-    got = repeats.remove_repeats(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), many=many).collect()
+    got = repeats.remove_repeats(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), piece=piece).collect()
     want = Counter((i, *w) for i, w in zip(ids, brute_repeats(texts, 200)))
     assert Counter(tuple(x)[:5] for x in got) == want
 
 
+def test_op3_hot_anchor(spark):
+    """One passage in 36,000 texts of their own beginnings and ends, some shared: more segments than one order would hold."""
+    r = random.Random(3)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(260))
+    tails = ["".join(r.choice("ijklmnop ") for _ in range(120)) for _ in range(40)]
+    texts = [f"{k:07d}" + passage[: 230 + k % 31] + (tails[k % 40] if k % 900 == 0 else f"{k * 7919:09d}" * 3) for k in range(36_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in repeats.remove_repeats(df).drop("kept").collect()}
+    seen = Counter()
+    for x in texts:
+        seen.update({x[i : i + 200] for i in range(len(x) - 199)})
+    for k in [*range(0, 36_000, 900), *range(1, 36_000, 97)]:
+        x = texts[k]
+        covered = {j for i in range(len(x) - 199) if seen[x[i : i + 200]] > 1 for j in range(i, i + 200)}
+        assert got[k] == (len(x), len(covered), sum(j - 1 not in covered for j in covered)), k
+
+
+def test_op3_neighbours_across_tasks(spark):
+    """The order is cut into tasks anywhere; what neighbours share is found all the same."""
+    r = random.Random(6)
+    rows = [(1 + k % 2, k, bytes(r.choice(b"ab") for _ in range(r.randint(0, 9)))) for k in range(300)]
+    df = spark.createDataFrame([(h, g, x) for h, g, x in rows], "h long, g long, after binary")
+    got = {x.g: x.reach for x in repeats._reach(df, "after").collect()}
+    for h, g, x in rows:
+        assert got[g] == max(repeats._shared(x, y) for p, q, y in rows if p == h and q != g)
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), length=24)
+
+
 def test_op4_components(spark, docs, odd):
     table = docs.select("doc_id", "text").unionByName(odd.where("doc_id is not null").select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
     rows = table.collect()
