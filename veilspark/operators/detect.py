@@ -92,7 +92,10 @@ def detect(df: DataFrame, text_col: str = "text", *, out: str = "spans", entitie
     wanted = None if entities is None else {e.upper() for e in entities}
     use_ner = ner is not None and score_threshold <= NER_SCORE and (wanted is None or wanted & set(NER_ENTITIES))
     model = fresh(df, "ner_spans_")
-    base = ner(df, text_col).withColumnRenamed("ner_spans", model) if use_ner else df
+    base = df
+    if use_ner:  # a column of the caller's by the model's name steps aside meanwhile
+        aside = {c: fresh(df, "aside_") for c in df.columns if c.lower() == "ner_spans"}
+        base = ner(df.withColumnsRenamed(aside), text_col).withColumnRenamed("ner_spans", model).withColumnsRenamed({v: k for k, v in aside.items()})
     used = recognizers(entities, detect_bare_inn=detect_bare_inn, extra=extra)
     safe, marked, places = fresh(base, "safe_"), fresh(base, "marked_"), fresh(base, "places_")
     # layers of columns: what the next one refers to more than once is not written out there again

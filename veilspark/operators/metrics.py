@@ -44,6 +44,21 @@ def rates(df: DataFrame, ts: str, *labels: str, minutes: int = 5, watermark: str
     return stamped.groupBy(w.alias("w"), *labels).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), *labels, "n", (F.col("n") / (60.0 * minutes)).alias("per_second"))
 
 
+def blocked_entities(df: DataFrame, request: str, spans_col: str = "spans") -> DataFrame:
+    """(entity_type, n): what was found in requests that are blocked for it, and in how many places."""
+    found = df.select(request, F.explode_outer(spans_col).alias("s")).where(F.col("s").isNotNull())
+    return counts(found.select(F.col("s.entity_type").alias("entity_type")), "entity_type")
+
+
+def failures(df: DataFrame, operation: str, error: str, on_failure: str = "fail_open") -> DataFrame:
+    """(operation, mode, n) of the operations that failed: what failed passes on or raises by the failure mode; overload
+    always raises, and a mapping that can't be deleted never does."""
+    from .mask import failure_mode
+
+    mode = F.when(F.col(error) == "overloaded", "fail_closed").when(F.col(operation) == "mapping_delete", "fail_open").otherwise(failure_mode(on_failure))
+    return counts(df.where(F.col(error).isNotNull()).withColumn("mode", mode), operation, "mode")
+
+
 def log_line(event: str, **fields: Column) -> Column:
     """A JSON line with sorted keys; fields must not hold texts of requests."""
     return F.to_json(F.struct(*[c.alias(k) for k, c in sorted({**fields, "event": F.lit(event)}.items())]))

@@ -70,13 +70,17 @@ def request_targets(df: DataFrame, body_col: str = "body") -> DataFrame:
     return _rows(df, body_col, found)
 
 
-def response_targets(df: DataFrame, body_col: str = "message") -> DataFrame:
-    """As request_targets, of a response message: content, reasoning_content, arguments of tool and function calls."""
+def response_texts(body_col: str = "message") -> Column:
+    """The texts of a response message, as an array of (path, text)."""
     m = F.try_parse_json(F.col(body_col))
     content = _at(m, "$.content")
     calls = F.flatten(F.transform(_items(_at(m, "$.tool_calls")), lambda c: _text(_at(c, "$.function.arguments"), "tool_calls.arguments")))
-    found = F.concat(_text(content, "content"), _blocks(content, "content.text", any_type=True), _text(_at(m, "$.reasoning_content"), "reasoning_content"), calls, _text(_at(m, "$.function_call.arguments"), "function_call.arguments"))
-    return _rows(df, body_col, found)
+    return F.concat(_text(content, "content"), _blocks(content, "content.text", any_type=True), _text(_at(m, "$.reasoning_content"), "reasoning_content"), calls, _text(_at(m, "$.function_call.arguments"), "function_call.arguments"))
+
+
+def response_targets(df: DataFrame, body_col: str = "message") -> DataFrame:
+    """As request_targets, of a response message: content, reasoning_content, arguments of tool and function calls."""
+    return _rows(df, body_col, response_texts(body_col))
 
 
 def _rows(df: DataFrame, body_col: str, found: Column) -> DataFrame:

@@ -42,3 +42,7 @@ class Settings:
     def read(cls, env: Mapping[str, str], prefix: str = "VEIL_") -> Settings:
         get = lambda name: env.get(prefix + name)
         return cls(policy(get("MODE")), failure_mode(get("ON_FAILURE")), positive_int(get("MAPPING_TTL_SECONDS"), DEFAULT_TTL), positive_float(get("SCORE_THRESHOLD"), 0.35), flag(get("DETECT_BARE_INN")), positive_int(get("FILES_PER_BATCH"), 16))
+
+    def detection(self) -> dict:
+        """What detect() takes of the settings."""
+        return {"score_threshold": self.score_threshold, "detect_bare_inn": self.detect_bare_inn}

@@ -5,7 +5,7 @@ RE2 has no look-around, so runs of digits of one length are found as maximal run
 
 from __future__ import annotations
 
-from ..operators.metrics import ANALYZER_BUCKETS, SIZE_BUCKETS
+from ..operators.metrics import ANALYZER_BUCKETS, SIZE_BUCKETS, STORE_BUCKETS
 from .synthetic import N10, N11, N12, TEXTS, TURN_TEXT
 
 # The weights, patterns and scores below are those of the recognizers and checks, in the other engine's dialect.
@@ -194,6 +194,7 @@ def _message_rows(extra: str = "") -> str:
 
 
 _C = "WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL), convs AS (SELECT conv_id, max(turn) AS last FROM c GROUP BY conv_id), m AS ("
+_MASKED_C = f"WITH c AS (SELECT conv_id, turn, {_MASKED} AS text FROM ({_TURNS}) WHERE text IS NOT NULL), convs AS (SELECT conv_id, max(turn) AS last FROM c GROUP BY conv_id), m AS ("
 _NUMBER = ") SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS target_ord, path, text FROM m"
 
 ORACLE_SQL |= {
@@ -206,6 +207,16 @@ ORACLE_SQL |= {
     "extract_response_targets": "WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL), m AS ("
     + _message_rows("UNION ALL SELECT conv_id, turn, -1, 'content.text', 'no' FROM c WHERE turn % 3 = 1 UNION ALL SELECT conv_id, turn, 1.5, 'reasoning_content', 'r' FROM c")
     + ") SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS target_ord, path, text FROM m",
+    "masked_bodies": _MASKED_C + f"SELECT conv_id, turn, k, 'messages.' || path AS path, text FROM ({_message_rows()}) UNION ALL SELECT conv_id, last + 1, 0, 'instructions', 'be kind' FROM convs" + _NUMBER,
+    "restored_messages": f"WITH c AS (SELECT conv_id, turn, text FROM ({_TURNS}) WHERE text IS NOT NULL), m AS ("
+    + _message_rows("UNION ALL SELECT conv_id, turn, -1, 'content.text', 'no' FROM c WHERE turn % 3 = 1")
+    + ") SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS target_ord, path, text FROM m",
+    "store_latency_histogram": " UNION ALL ".join(f"SELECT event_type, CAST({b} AS DOUBLE) AS le, count(*) FILTER (value / 1000 <= {b}) AS n FROM events GROUP BY event_type" for b in STORE_BUCKETS) + " UNION ALL SELECT event_type, CAST(NULL AS DOUBLE), count(value) FROM events GROUP BY event_type",
+    "blocked_entity_counts": f"SELECT entity_type, count(*) AS n FROM ({_MAPPING}) GROUP BY entity_type",
+    "failure_counts": """WITH t AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'masking' WHEN 1 THEN 'mapping_save' WHEN 2 THEN 'mapping_load' ELSE 'mapping_delete' END AS operation, CASE WHEN o_orderkey % 6 = 0 THEN 'failed' WHEN o_orderkey % 35 = 0 THEN 'overloaded' END AS error FROM orders)
+        SELECT operation, CASE WHEN error = 'overloaded' THEN 'fail_closed' WHEN operation = 'mapping_delete' THEN 'fail_open' ELSE 'fail_closed' END AS mode, count(*) AS n FROM t WHERE error IS NOT NULL GROUP BY ALL""",
+    "log_lines": """SELECT c_custkey, '{"entity":"тип","event":"pii_masked","masked_count":' || c_custkey % 7 || ',"request_id":"' || c_custkey || '"}' AS line FROM customer""",
+    "guardrail_hooks": "SELECT o_orderkey, 'on' AS how FROM orders UNION ALL SELECT o_orderkey, 'asked' FROM orders WHERE o_orderkey % 3 = 0",
     "blank_skip": r"SELECT conv_id, turn, turn % 2 = 0 OR text IS NULL OR NOT regexp_matches(text, '\S') AS blank FROM conversations",
     "metadata_scrub": "SELECT c_custkey, 'user' AS keys FROM customer",
     "rates_5m": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",

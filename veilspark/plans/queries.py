@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks
+from ..operators import bodies as B
 from ..operators import mask as M
 from ..operators import metrics, ner, routing
 from ..operators import restore as R
@@ -207,9 +208,9 @@ def mapping_ttl_lookup(spark, sf_dir):
     return mappings.live(stored, asked, "at", consumed).select("request_id", "original")
 
 
-def _chat(spark, sf_dir):
+def _chat(spark, sf_dir, c: DataFrame | None = None):
     """Requests whose messages are a conversation's turns: as text, as blocks, or with tool arguments."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations") if c is None else c
     text = F.to_json(F.struct(F.col("text").alias("t")))
     quoted = F.substring(text, F.lit(6), F.length(text) - 6)  # the text as a JSON string
     blocks = F.concat(F.lit('[{"type":"image_url","text":"no"},{"type":"input_text","text":'), quoted, F.lit('},7,{"text":"plain"}]'))
@@ -217,8 +218,8 @@ def _chat(spark, sf_dir):
     return c.withColumn("message", message)
 
 
-def _bodies(spark, sf_dir, template: str) -> DataFrame:
-    rows = _chat(spark, sf_dir).where("text is not null").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "message"))), lambda x: x["message"]), ",").alias("m"))
+def _bodies(spark, sf_dir, template: str, c: DataFrame | None = None) -> DataFrame:
+    rows = _chat(spark, sf_dir, c).where("text is not null").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "message"))), lambda x: x["message"]), ",").alias("m"))
     before, after = template.split("@")
     return rows.select("conv_id", F.concat(F.lit(before), "m", F.lit(after)).alias("body"))
 
@@ -232,6 +233,23 @@ def extract_chat_targets(spark, sf_dir):
     return _numbered(T.request_targets(_bodies(spark, sf_dir, '{"model":"m","messages":[@,5],"instructions":"be kind"}')))
 
 
+@query
+def masked_bodies(spark, sf_dir):
+    """The texts of requests that have been masked and written back."""
+    bodies = _bodies(spark, sf_dir, '{"model":"m","messages":[@,5],"instructions":"be kind"}', turns(spark, sf_dir))
+    masked = B.mask_bodies(spread(bodies), "conv_id", entities=["PHONE_NUMBER", "EMAIL_ADDRESS"])
+    return _numbered(T.request_targets(masked.select("conv_id", "masked_body"), "masked_body"))
+
+
+@query
+def restored_messages(spark, sf_dir):
+    """The texts of response messages with placeholders, after these have been restored and written back."""
+    masked = R.with_request_maps(_masked_turns(spark, sf_dir), "conv_id")
+    said = _chat(spark, sf_dir, masked.select("conv_id", "turn", F.col("masked_text").alias("text"), "mapping"))
+    restored = B.restore_messages(said.select("conv_id", "turn", "message", "mapping"))
+    return T.response_targets(restored.select("conv_id", "turn", "restored_message"), "restored_message").select("conv_id", "turn", F.col("target_ord").cast("long").alias("target_ord"), "path", "text")
+
+
 @query
 def extract_responses_targets(spark, sf_dir):
     return _numbered(T.request_targets(_bodies(spark, sf_dir, '{"input":[@,{"type":"text","text":"own","output":[{"text":"o"}]},{"text":"untyped","arguments":"a","output":"p"}],"instructions":["x"]}')))
@@ -344,6 +362,37 @@ def latency_p95(spark, sf_dir):
     return metrics.quantile(h, 0.95, "event_type").select("event_type", F.round("value", 6).alias("p95"))
 
 
+@query
+def store_latency_histogram(spark, sf_dir):
+    return metrics.histogram(table(spark, sf_dir, "events").withColumn("seconds", F.col("value") / 1000), "seconds", metrics.STORE_BUCKETS, "event_type").select("event_type", "le", "n")
+
+
+@query
+def blocked_entity_counts(spark, sf_dir):
+    return metrics.blocked_entities(_turn_spans(spark, sf_dir), "conv_id")
+
+
+@query
+def failure_counts(spark, sf_dir):
+    k = F.col("o_orderkey")
+    operation = F.element_at(F.array(*map(F.lit, ("masking", "mapping_save", "mapping_load", "mapping_delete"))), (k % 4 + 1).cast("int"))
+    tried = table(spark, sf_dir, "orders").select(operation.alias("operation"), F.when(k % 6 == 0, "failed").when(k % 35 == 0, "overloaded").alias("error"))
+    return metrics.failures(tried, "operation", "error", "fail-closed")
+
+
+@query
+def log_lines(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", metrics.log_line("pii_masked", request_id=F.col("c_custkey").cast("string"), masked_count=F.col("c_custkey") % 7, entity=F.lit("тип")).alias("line"))
+
+
+@query
+def guardrail_hooks(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("pii"), F.lit("x"))).when(F.col("o_orderkey") % 3 == 1, F.array(F.lit("y"))).alias("guardrails"))
+    on = routing.guarded(o, "pii", True).select("o_orderkey", F.lit("on").alias("how"))
+    return on.unionByName(routing.guarded(o, "pii", False).select("o_orderkey", F.lit("asked").alias("how")))
+
+
 def _access(spark, sf_dir):
     keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key_id"), F.array(F.when(F.col("c_custkey") % 2 == 0, "standard").otherwise("premium"), F.lower("c_mktsegment")).alias("groups"))
     deployments = spark.createDataFrame([("a-1", "small", ["standard", "open"], True), ("a-2", "small", ["standard"], False), ("b-1", "large", ["premium"], True), ("b-2", "large", ["premium", "building"], True), ("c-1", "own", ["building"], True)], "deployment_id string, model_name string, access_groups array<string>, healthy boolean")
