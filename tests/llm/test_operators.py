@@ -57,6 +57,57 @@ def test_op1_shards(spark):
     assert all(r.size == len(texts[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id]) for r in rows)
 
 
+def plain_hilbert(point, bits):
+    """Skilling's transform, step by step, and the bits interleaved."""
+    x = list(point)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(len(x)):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, len(x)):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[-1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_op1_against_a_plain_sort(spark):
+    """Shards are runs of the rows sorted by a curve index that is computed without Spark, and their files prune."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    cells = [sharding.log2_cell(F.col("n_chars"), 5), sharding.hash_cell(F.col("lang"), 5), sharding.hash_cell(F.col("source"), 5)]
+    rows = sharding.hilbert_shards(docs.withColumn("cells", F.array(*cells)), cells, bits=5, order=["doc_id"], n_shards=16).collect()
+    assert all(r.curve_index == plain_hilbert(r.cells, 5) for r in rows)
+    placed = sorted(rows, key=lambda r: (r.shard, r.slot))
+    index = [r.curve_index for r in placed]
+    assert index == sorted(index)
+    each, more = divmod(len(rows), 16)
+    assert [r.shard for r in placed] == [s for s in range(16) for _ in range(each + (s < more))]
+    cut = lambda name: sum(len({getattr(r, name) for r in placed if r.shard == s}) for s in range(16))
+    assert cut("lang") < 16 * len({r.lang for r in rows}) * 0.7 and cut("source") < 16 * len({r.source for r in rows}) * 0.7
+
+
+def test_write_shards(spark, tmp_path):
+    df = spark.range(100).select(F.col("id"), F.lit(None).cast("string").alias("note"), (F.col("id") % 3).cast("int").alias("shard"), F.floor(F.col("id") / 3).alias("slot"))
+    sharding.write_shards(df, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.shard, r.slot, r.id) for r in back.collect()) == sorted((k % 3, k // 3, k) for k in range(100))
+    for s in range(3):
+        one = [r.slot for r in spark.read.parquet(str(tmp_path / "out" / f"shard={s}")).coalesce(1).collect()]
+        assert one == sorted(one)
+    with pytest.raises(Exception):
+        sharding.write_shards(df, str(tmp_path / "out"))
+
+
 def test_op2_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
     v, ids = np.stack(e.embedding.to_numpy()).astype(float), e.vec_id.to_numpy()

@@ -107,5 +107,9 @@ def hilbert_shards(df: DataFrame, cells: Sequence[Column], *, bits: int, order:
 
 
 def write_shards(sharded: DataFrame, path: str, *, shard: str = "shard", slot: str = "slot") -> None:
-    """One folder a shard, its rows in slot order and in files of at most a million rows."""
+    """One folder a shard, its rows in slot order and in files of at most a million rows.
+
+    Null and repeated rows are written as they are; an empty table gives a folder without rows, and a folder that is
+    there is an error.  A shard may be written by several tasks, which divide its slots by range.
+    """
     (sharded.repartitionByRange(F.col(shard), F.col(slot)).sortWithinPartitions(shard, slot).write.partitionBy(shard).option("maxRecordsPerFile", 1_000_000).mode("errorifexists").parquet(path))
