@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -25,10 +27,12 @@ QUERIES: dict[str, Query] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares for intermediate data."""
+    """The folder that the cluster shares for intermediate data; one of this machine only if all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
     return folder
 
 
