@@ -309,12 +309,12 @@ def ner_gate(spark, sf_dir):
 
 
 def _chunks(spark, sf_dir) -> DataFrame:
-    """Masked turns, seven characters a chunk, each with its conversation's mapping."""
+    """Masked turns, seven characters a chunk, the first with its conversation's mapping."""
     masked = R.with_request_maps(_masked_turns(spark, sf_dir), "conv_id")
     n = F.ceil(F.length("masked_text") / 7)
     rows = masked.select(F.col("conv_id").alias("request_id"), F.col("turn").cast("int").alias("choice_index"), F.lit("content").alias("field"), "mapping", "masked_text", n.alias("n"))
     rows = rows.withColumn("pieces", F.transform(F.sequence(F.lit(1).cast("long"), "n"), lambda k: F.struct(k.alias("seq"), F.substring(F.col("masked_text"), ((k - 1) * 7 + 1).cast("int"), F.lit(7)).alias("delta"))))
-    return rows.select("request_id", "choice_index", "field", "mapping", F.explode("pieces").alias("p"), "n").select("request_id", "choice_index", "field", "p.seq", "p.delta", F.when(F.col("p.seq") == F.col("n"), "stop").alias("finish_reason"), "mapping")
+    return rows.select("request_id", "choice_index", "field", "mapping", F.explode("pieces").alias("p"), "n").select("request_id", "choice_index", "field", "p.seq", "p.delta", F.when(F.col("p.seq") == F.col("n"), "stop").alias("finish_reason"), F.when(F.col("p.seq") == 1, F.col("mapping")).alias("mapping"))
 
 
 def _texts(out: DataFrame) -> DataFrame:
@@ -434,7 +434,7 @@ def response_outcome_counts(spark, sf_dir):
 def stream_restore_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming form over written chunks, run to its end; the sink's table is returned."""
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    _chunks(spark, sf_dir).withColumns({"request_id": F.col("request_id").cast("string"), "mapping": F.when(F.col("seq") == 1, F.col("mapping"))}).write.parquet(f"{at}/in")
+    _chunks(spark, sf_dir).withColumn("request_id", F.col("request_id").cast("string")).write.parquet(f"{at}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).parquet(f"{at}/in")
     q = replacer.restore_stream(stream, idle=None).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
     q.awaitTermination()

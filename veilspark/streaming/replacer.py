@@ -24,38 +24,47 @@ from ..sources.mappings import DEFAULT_TTL
 def restore_chunks(chunks: DataFrame, mapping: DataFrame | None = None, *, longest: int = 64) -> DataFrame:
     """chunks (request_id, choice_index, field, seq, delta, finish_reason) with `emitted`, the text to pass on.
 
-    mapping: rows (request_id, placeholder, original); None if chunks have a map `mapping`.  A chunk with a finish_reason
-    passes on all that its choice held back, in each of the choice's fields: a row whose field is null (a finish without
-    text) comes back as a row for each, and where a field has no row of its own one comes back if it has something to
-    pass on.  The last chunk of a field does the same.  longest: characters of a placeholder at most; a longer one is an error.
-
-    Windows by field: a row sees the ends of the chunks before it, at most longest characters, never the whole text.
+    mapping: rows (request_id, placeholder, original); None if chunks have a map `mapping`, on one chunk of each choice
+    at least.  A chunk with a finish_reason passes on all that its choice held back, in each of the choice's fields: a row
+    whose field is null (a finish without text) comes back as a row for each, and where a field has no row of its own one
+    comes back if it has something to pass on.  The last chunk of a field does the same.  longest: characters of a
+    placeholder at most; a longer one is an error.
+
+    Windows by field: a row sees the ends of the chunks before it, at most longest characters, never the whole text; and
+    mappings come to the rows when the windows are done.
     """
-    joined = chunks if mapping is None else chunks.join(as_maps(mapping, "request_id"), "request_id", "left")
+    choice, key = ["request_id", "choice_index"], ["request_id", "choice_index", "field"]
+    slim = chunks if mapping is None else chunks.repartition(F.col("request_id"))
     # a chunk that finishes its choice becomes a row for each field of the choice; all windows share this one's shuffle
-    fields = F.array_compact(F.array_distinct(F.concat(F.array("field"), F.collect_set("field").over(Window.partitionBy("request_id", "choice_index")))))
+    fields = F.array_compact(F.array_distinct(F.concat(F.array("field"), F.collect_set("field").over(Window.partitionBy(*choice)))))
     ended = F.when(F.size("fields_") > 0, F.col("fields_")).otherwise(F.array(F.lit("content")))
-    rows = joined.withColumn("fields_", fields).withColumn("field_", F.explode(F.when(F.col("finish_reason").isNotNull(), ended).otherwise(F.array("field"))))
+    rows = slim.withColumn("fields_", fields).withColumn("field_", F.explode(F.when(F.col("finish_reason").isNotNull(), ended).otherwise(F.array("field"))))
     own = F.col("field").isNull() | (F.col("field") == F.col("field_"))
     rows = rows.withColumn("own_", own).withColumn("delta_", F.when(F.col("own_"), F.coalesce("delta", F.lit(""))).otherwise("")).withColumn("field", F.col("field_"))
-    rows = rows.withColumn("n_own_", F.count_if("own_").over(Window.partitionBy("request_id", "choice_index", "field", "seq")))
+    rows = rows.withColumn("n_own_", F.count_if("own_").over(Window.partitionBy(*key, "seq")))
     both = rows.where(F.col("own_") | (F.col("n_own_") == 0)).drop("fields_", "field_", "n_own_")
 
-    key = ["request_id", "choice_index", "field"]
     w = Window.partitionBy(*key).orderBy("seq", F.col("own_").desc())
     ends = F.col("finish_reason").isNotNull() | F.lead("seq").over(w).isNull()
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     counted = both.withColumns({"ends_": ends, "part_": F.coalesce(F.count_if(F.col("finish_reason").isNotNull()).over(before), F.lit(0)), "n_": F.sum(F.length("delta_")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     near = Window.partitionBy(*key, "part_").orderBy("n_").rangeBetween(-longest, 0)  # chunks that end so near before
-    too_long = F.exists(F.map_keys("mapping"), lambda p: F.length(p) > longest)
-    tail = F.array_join(F.collect_list(F.expr(f"right(delta_, {longest})")).over(near), "")
-    checked = F.when(too_long, F.raise_error(F.lit(f"a placeholder is longer than {longest} characters")).cast("string")).otherwise(tail)
-    held = counted.withColumn("tail_", checked).withColumn("keep_", F.when(F.col("ends_") | F.col("mapping").isNull(), F.lit(0)).otherwise(held_back(F.col("tail_"), F.map_keys("mapping"))))
-    held = held.withColumn("pending_", F.expr("right(tail_, keep_)"))
-    text = F.concat(F.coalesce(F.lag("pending_").over(w), F.lit("")), F.col("delta_"))
-    out = held.withColumn("text_", text).withColumn("new_", F.substring("text_", F.lit(1), F.length("text_") - F.col("keep_")))
-    emitted = replace_placeholders(F.col("new_"), F.col("mapping"))
-    return out.withColumn("emitted", emitted).where(F.col("own_") | (F.col("emitted") != "")).select(*chunks.columns, "emitted")
+    tailed = counted.withColumn("tail_", F.array_join(F.collect_list(F.expr(f"right(delta_, {longest})")).over(near), ""))
+    tailed = tailed.withColumn("last_", F.when(~F.lag("ends_").over(w), F.lag("tail_").over(w)))
+
+    if mapping is None:
+        known = tailed.withColumn("map_", F.first("mapping", ignorenulls=True).over(Window.partitionBy(*choice)))
+    else:
+        known = tailed.join(as_maps(mapping, "request_id").withColumnRenamed("mapping", "map_"), "request_id", "left")
+    names = F.map_keys("map_")
+    held = lambda text: F.when(F.contains(text, F.lit("<")), held_back(text, names)).otherwise(0)
+    too_long = F.coalesce(F.exists(names, lambda p: F.length(p) > longest), F.lit(False))
+    keep = F.when(too_long, F.raise_error(F.lit(f"a placeholder is longer than {longest} characters")).cast("int")).when(F.col("ends_"), F.lit(0)).otherwise(held(F.col("tail_")))
+    out = known.withColumns({"keep_": F.coalesce(keep, F.lit(0)), "had_": F.coalesce(held(F.col("last_")), F.lit(0))})
+    text = F.concat(F.when(F.col("had_") > 0, F.expr("right(last_, had_)")).otherwise(""), F.col("delta_"))
+    out = out.withColumn("text_", text).withColumn("new_", F.substring("text_", F.lit(1), F.length("text_") - F.col("keep_")))
+    out = out.withColumn("emitted", F.coalesce(replace_placeholders(F.col("new_"), F.col("map_")), F.col("new_")))
+    return out.where(F.col("own_") | (F.col("emitted") != "")).select(*chunks.columns, "emitted")
 
 
 def held_back(text: Column, placeholders: Column) -> Column:
