@@ -153,6 +153,12 @@ def test_long_texts_and_fields_take_linear_work(spark):
     assert time.time() - start < 120
 
 
+def test_digits_of_other_scripts(spark):
+    """\\d is Unicode's in the patterns and in the tests before them."""
+    df = spark.createDataFrame([("+7\u0669\u0661\u0662 345 67 89",)], "text string")
+    assert [r.entity_type for r in detected_rows(detect(df, entities=["PHONE_NUMBER"]), []).collect()] == ["PHONE_NUMBER"]
+
+
 def test_private_characters_in_a_text(spark):
     text = "\ue000a.b@c.example\ue001 \ue002 d@e.example"
     r = M.mask_rows(detect(spark.createDataFrame([(text,)], "text string"))).first()

@@ -37,7 +37,7 @@ PHONE = Recognizer(
     ),
     checks.phone,
     context=("телефон", "тел", "тел.", "мобильный", "сотовый", "звонить", "позвонить", "набрать", "номер", "phone", "tel", "mobile", "call", "контактный", "т.", "mob."),
-    needs=r"[0-9]{2}",
+    needs=r"\p{Nd}{2}",
 )
 EMAIL = Recognizer(
     "EMAIL_ADDRESS",
@@ -51,7 +51,7 @@ INN = Recognizer(
     checks.inn,
     keeps_score=True,
     context=("инн", "индивидуальный номер налогоплательщика", "налог", "налоговый", "налоговая", "inn", " taxpayer", "огрн", "огрнип", "кпп"),
-    needs=r"[0-9]{10}",
+    needs=r"\p{Nd}{10}",
 )
 INN_STRICT = replace(INN, patterns=(replace(INN.patterns[0], score=0.3), replace(INN.patterns[1], score=0.2)))
 SNILS = Recognizer(
@@ -59,14 +59,14 @@ SNILS = Recognizer(
     (Pattern("formatted", r"(?U)\b\d{3}[-\s]?\d{3}[-\s]?\d{3}[-\s]?\d{2}\b", 0.4), Pattern("plain", r"(?U)(?<!\d)\d{11}(?!\d)", 0.2)),
     checks.snils,
     context=("снилс", "страховой номер", "пенсионный", "пенсия", "страховое свидетельство", "сзо", "адвр"),
-    needs=r"[0-9]{3}",
+    needs=r"\p{Nd}{3}",
 )
 PASSPORT = Recognizer(
     "RU_PASSPORT",
     (Pattern("spaced", r"(?U)\b\d{2}\s\d{2}\s\d{6}\b", 0.5), Pattern("compact", r"(?U)\b\d{4}\s\d{6}\b", 0.4)),
     checks.passport,
     context=("паспорт", "паспортные данные", "серия", "номер паспорта", "удостоверение личности", "документ", "passport", "удл"),
-    needs=r"[0-9]{6}",
+    needs=r"\p{Nd}{6}",
 )
 CARD = Recognizer(
     "CREDIT_CARD",
@@ -76,7 +76,7 @@ CARD = Recognizer(
     ),
     checks.card,
     context=("карта", "банковская карта", "номер карты", "карточка", "кредитная", "дебетовая", "visa", "mastercard", "мир", "счёт", "оплата", "платёж", "cvv", "cvc"),
-    needs=r"[0-9]{4}",
+    needs=r"\p{Nd}{4}",
 )
 ADDRESS = Recognizer(
     "RU_ADDRESS",
