@@ -412,7 +412,9 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     both = segments.join(right.withColumnRenamed("reach", "r"), ["h", "g"]).join(left.withColumnRenamed("reach", "k"), ["h", "g"]).where(F.col("r") + F.col("k") >= length)
     rest = materialise(both.select("h", "g", "n", F.length("before").alias("at"), F.expr("substring(before, 1, k)").alias("before"), F.expr("substring(after, 1, r)").alias("after")))
     alike = rest.groupBy("h", "before", "after").agg(F.count(F.lit(1)).alias("copies"))
-    ordered = alike.repartition("h").sortWithinPartitions("h", "before", "after").mapInArrow(_order(length, piece), "h long, before binary, after binary, a int, b int")
+    # so many tasks as set: ordering costs seconds a megabyte, and adaptive execution would merge partitions by their size
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = alike.repartition(tasks, "h").sortWithinPartitions("h", "before", "after").mapInArrow(_order(length, piece), "h long, before binary, after binary, a int, b int")
     ordered = materialise(ordered)
     shift = F.col("at") - F.length("before")
     single = rest.where("n = 1").join(ordered, ["h", "before", "after"]).select("h", "g", (F.col("a") + shift).alias("a"), (F.col("b") + shift).alias("b"))
