@@ -415,11 +415,10 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # so many tasks as set: ordering costs seconds a megabyte, and adaptive execution would merge partitions by their size
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = alike.repartition(tasks, "h").sortWithinPartitions("h", "before", "after").mapInArrow(_order(length, piece), "h long, before binary, after binary, a int, b int")
-    ordered = materialise(ordered)
     shift = F.col("at") - F.length("before")
     single = rest.where("n = 1").join(ordered, ["h", "before", "after"]).select("h", "g", (F.col("a") + shift).alias("a"), (F.col("b") + shift).alias("b"))
     whole = classes.where("n > 1").select("h", "g", F.lit(0).alias("a"), (F.shiftright(F.col("one.meta"), 10).bitwiseAND(F.lit(1023)) + (length - 1)).cast("int").alias("b"))
-    verdicts = materialise(whole.unionByName(single))
+    verdicts = whole.unionByName(single)
 
     spans = shared.join(verdicts, ["h", "g"]).select("doc_id", "mark_", (F.shiftright("meta", 20) + F.col("a")).alias("a"), (F.shiftright("meta", 20) + F.col("b")).alias("b"))
     of_document = spans.groupBy("doc_id", "mark_").agg(F.collect_set(F.struct("a", "b")).alias("spans")).withColumnsRenamed({"doc_id": "id_", "mark_": "own_"})
