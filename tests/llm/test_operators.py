@@ -4,9 +4,11 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from datetime import date, timedelta
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -221,6 +223,21 @@ def test_op3_neighbours_across_tasks(spark):
         repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), length=24)
 
 
+def test_op3_leaves_no_shuffle_files(spark, docs):
+    """What the steps that are written down were shuffled with is gone when the last one is: it would be disk beside it."""
+    folders = [Path(x.getPath()) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {x.name for folder in folders for x in folder.rglob("shuffle_*.data")}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(setting, None)
+    out = repeats.remove_repeats(docs)
+    end = time.time() + 5  # executors are told, not waited for
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(setting, None) == was
+    for _ in range(2):  # the result can be run, and run again
+        assert Counter(tuple(x)[1:5] for x in out.collect()) == Counter(brute_repeats([x.text for x in docs.collect()], 200))
+
+
 def test_op4_components(spark, docs, odd):
     table = docs.select("doc_id", "text").unionByName(odd.where("doc_id is not null").select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
     rows = table.collect()

@@ -28,6 +28,29 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: While it holds, what is run removes its shuffle files when it is done.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise_alone(df: DataFrame) -> DataFrame:
+    """materialise, and remove the shuffle files that df came from as soon as it is written.
+
+    Otherwise they stay until the driver happens to collect its garbage.  If df is run again, it makes them anew, and so
+    do frames that another thread makes in this session meanwhile.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    conf = df.sparkSession.conf
+    before = conf.get(_RELEASE, None)
+    conf.set(_RELEASE, "true")
+    try:
+        return df.select("*").checkpoint()  # the setting holds for frames made after it
+    finally:
+        if before is None:
+            conf.unset(_RELEASE)
+        else:
+            conf.set(_RELEASE, before)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """A column name for each of names that df does not have (compared without case)."""
     taken = {c.lower() for c in df.columns}

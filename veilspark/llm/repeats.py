@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialise
+from .common import col, materialise_alone
 from .grouping import suffix_array
 
 GRAM = 24
@@ -252,7 +252,7 @@ def _reach(segments: DataFrame, column: str) -> DataFrame:
     make a hot partition.  The ends of the tasks, two rows each, meet on the driver.
     """
     ranged = segments.select("h", "g", F.col(column).alias("x")).repartitionByRange("h", "x", "g").sortWithinPartitions("h", "x", "g")
-    found = materialise(ranged.mapInArrow(_neighbours, "h long, g long, reach int, part int, edge int, x binary"))
+    found = materialise_alone(ranged.mapInArrow(_neighbours, "h long, g long, reach int, part int, edge int, x binary"))
     ends = sorted(found.where(F.col("edge") != INNER).collect(), key=lambda r: (r.part, r.edge != FIRST))
     more = []
     for one, two in zip(ends, ends[1:]):
@@ -398,28 +398,28 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     found = base.where(F.octet_length("text_") >= length).mapInArrow(_find(length), "doc_id long, mark_ long, h long, g long, meta long")
 
     # tables that a hot anchor is joined with are written down first: then the join's hot partitions can be split
-    again = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("n_h")).where("n_h > 1").select("h"))
-    shared = materialise(found.join(again, "h"))
-    classes = materialise(shared.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark_", "meta")).alias("one")))
-    mixed = materialise(classes.groupBy("h").agg(F.count(F.lit(1)).alias("segments"), F.min("n").alias("fewest")).where("segments > 1 and fewest = 1").select("h"))
+    again = materialise_alone(found.groupBy("h").agg(F.count(F.lit(1)).alias("n_h")).where("n_h > 1").select("h"))
+    shared = materialise_alone(found.join(again, "h"))
+    classes = materialise_alone(shared.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark_", "meta")).alias("one")))
+    mixed = materialise_alone(classes.groupBy("h").agg(F.count(F.lit(1)).alias("segments"), F.min("n").alias("fewest")).where("segments > 1 and fewest = 1").select("h"))
     open_ = classes.join(mixed, "h").select("h", "g", "n", "one.*")
 
     by_document = open_.groupBy("doc_id", "mark_").agg(F.collect_list(F.struct("h", "g", "n", "meta")).alias("wanted"))
     texts = base.join(by_document.withColumnsRenamed({"doc_id": "id_", "mark_": "own_"}), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark_") == F.col("own_")))
     cut = texts.select("text_", "wanted").mapInArrow(_cut(length), "h long, g long, n long, before binary, after binary")
-    segments = materialise(cut.dropDuplicates(["h", "g"]))  # rows that repeat id and text bring a segment twice
+    segments = materialise_alone(cut.dropDuplicates(["h", "g"]))  # rows that repeat id and text bring a segment twice
     right, left = _reach(segments, "after"), _reach(segments, "before")
     both = segments.join(right.withColumnRenamed("reach", "r"), ["h", "g"]).join(left.withColumnRenamed("reach", "k"), ["h", "g"]).where(F.col("r") + F.col("k") >= length)
-    rest = materialise(both.select("h", "g", "n", F.length("before").alias("at"), F.expr("substring(before, 1, k)").alias("before"), F.expr("substring(after, 1, r)").alias("after")))
+    rest = materialise_alone(both.select("h", "g", "n", F.length("before").alias("at"), F.expr("substring(before, 1, k)").alias("before"), F.expr("substring(after, 1, r)").alias("after")))
     alike = rest.groupBy("h", "before", "after").agg(F.count(F.lit(1)).alias("copies"))
     # so many tasks as set: ordering costs seconds a megabyte, and adaptive execution would merge partitions by their size
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = alike.repartition(tasks, "h").sortWithinPartitions("h", "before", "after").mapInArrow(_order(length, piece), "h long, before binary, after binary, a int, b int")
-    ordered = materialise(ordered)
+    ordered = materialise_alone(ordered)
     shift = F.col("at") - F.length("before")
     single = rest.where("n = 1").join(ordered, ["h", "before", "after"]).select("h", "g", (F.col("a") + shift).alias("a"), (F.col("b") + shift).alias("b"))
     whole = classes.where("n > 1").select("h", "g", F.lit(0).alias("a"), (F.shiftright(F.col("one.meta"), 10).bitwiseAND(F.lit(1023)) + (length - 1)).cast("int").alias("b"))
-    verdicts = materialise(whole.unionByName(single))
+    verdicts = materialise_alone(whole.unionByName(single))
 
     spans = shared.join(verdicts, ["h", "g"]).select("doc_id", "mark_", (F.shiftright("meta", 20) + F.col("a")).alias("a"), (F.shiftright("meta", 20) + F.col("b")).alias("b"))
     of_document = spans.groupBy("doc_id", "mark_").agg(F.collect_set(F.struct("a", "b")).alias("spans")).withColumnsRenamed({"doc_id": "id_", "mark_": "own_"})
